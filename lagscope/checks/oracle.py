@@ -653,3 +653,45 @@ for _name, _text in _plain.items():
 ORACLE["ttl_dedup"] = with_recursive(
     f"SELECT group_id, cls AS lag_classification, topic, {T0} + h * INTERVAL 1 HOUR AS snapshotted_at FROM x_pass"
 )
+
+# ---------------------------------------------------------------- events and texts
+
+_FRESH = """
+(SELECT w.snapshotted_at, w.cls FROM x_worst w JOIN x_pass p
+   ON p.group_id = w.group_id AND p.cls = w.cls AND p.topic = w.topic AND p.h = w.h)"""
+_UUID = UUID_OF.format(ts="a.snapshotted_at")
+ORACLE["analysis_event"] = with_recursive(f"""SELECT {_UUID} AS analysis_id, 0::INT AS part, a.snapshotted_at AS analyzed_at, a.severity,
+  coalesce(t.g, 0)::INT AS groups, coalesce(t.n, 0)::INT AS topics, coalesce(r.n, 0)::INT AS recommendations,
+  coalesce(i.n, 0)::INT AS incidents, coalesce(b.n, 0)::INT AS runbooks, a.offline
+FROM x_act a
+LEFT JOIN (SELECT snapshotted_at, count(DISTINCT group_id) AS g, count(*) AS n FROM x_high GROUP BY 1) t ON t.snapshotted_at = a.snapshotted_at
+LEFT JOIN (SELECT snapshotted_at, count(*) AS n FROM x_rank GROUP BY 1) r ON r.snapshotted_at = a.snapshotted_at
+LEFT JOIN {_FRESH} f ON f.snapshotted_at = a.snapshotted_at
+LEFT JOIN (SELECT query_id, count(*) AS n FROM x_csimilar GROUP BY 1) i ON i.query_id = f.cls
+LEFT JOIN (SELECT query_id, count(*) AS n FROM x_crbtop GROUP BY 1) b ON b.query_id = f.cls""")
+ORACLE["recommendation_rows"] = sql(
+    f"SELECT {_UUID} AS analysis_id, a.* EXCLUDE (snapshotted_at, position), FALSE AS applied, a.snapshotted_at AS created_at FROM x_rank a"
+)
+ORACLE["reference_ids"] = with_recursive(f"""SELECT {_UUID} AS analysis_id, 0::INT AS part, coalesce(i.l, '') AS similar_incidents, coalesce(b.l, '') AS runbook_references
+FROM x_act a LEFT JOIN {_FRESH} f ON f.snapshotted_at = a.snapshotted_at
+LEFT JOIN (SELECT query_id, string_agg(incident_id, ',' ORDER BY rank) AS l FROM x_csimilar GROUP BY 1) i ON i.query_id = f.cls
+LEFT JOIN (SELECT query_id, string_agg(runbook_id, ',' ORDER BY pos) AS l FROM x_crbtop GROUP BY 1) b ON b.query_id = f.cls""")
+ORACLE["analysis_context"] = with_recursive(f"""SELECT a.snapshotted_at, 0::INT AS part,
+  '## Consumer Group Lag Analysis' || coalesce(chr(10) || g.l, '') || chr(10) || chr(10) || '## Partition Health' || chr(10) ||
+  '  total=' || a.total_partitions || chr(10) || '  under_replicated=' || a.under_replicated || chr(10) || '  offline=' || a.offline || chr(10) ||
+  '  leader_imbalance=' || printf('%.1f', a.leader_imbalance * 100) || '%' || chr(10) || chr(10) ||
+  CASE WHEN i.l IS NULL THEN '## Similar Historical Incidents: none found' ELSE '## Similar Historical Incidents (RAG)' || chr(10) || i.l END ||
+  CASE WHEN b.l IS NULL THEN '' ELSE chr(10) || chr(10) || '## Relevant Runbook Sections' || chr(10) || b.l END AS context
+FROM x_act a
+LEFT JOIN (SELECT snapshotted_at, string_agg(chr(10) || '### Group: ' || group_id || ' (severity=' || printf('%.2f', s) || ')' || chr(10) || l, chr(10) ORDER BY group_id) AS l
+  FROM (SELECT h.snapshotted_at, h.group_id, max(group_score) AS s, string_agg('  - topic=' || h.topic || ' lag=' || format('{{:,}}', total_lag) || ' velocity=' ||
+      CASE WHEN v < 0 AND round_even(v, 0) = 0 THEN '-0' ELSE printf('%+d', round_even(v, 0)::BIGINT) END || '/min classification=' || cls ||
+      CASE WHEN p.l IS NULL THEN '' ELSE chr(10) || '    problematic partitions: [' || p.l || ']' END, chr(10) ORDER BY h.topic) AS l
+    FROM x_high h LEFT JOIN (SELECT snapshotted_at, group_id, topic, string_agg(part::VARCHAR, ', ' ORDER BY part) AS l FROM x_problem GROUP BY ALL) p
+      ON p.snapshotted_at = h.snapshotted_at AND p.group_id = h.group_id AND p.topic = h.topic
+    GROUP BY h.snapshotted_at, h.group_id) GROUP BY snapshotted_at) g ON g.snapshotted_at = a.snapshotted_at
+LEFT JOIN {_FRESH} f ON f.snapshotted_at = a.snapshotted_at
+LEFT JOIN (SELECT query_id, string_agg('  - [' || incident_id || '] ' || cls || ' resolved_by=CONSUMER_RESTART in ' || minutes || 'min (similarity=' ||
+    printf('%.2f', score) || ')' || chr(10) || '    summary: ' || summary, chr(10) ORDER BY rank) AS l FROM x_csimilar GROUP BY 1) i ON i.query_id = f.cls
+LEFT JOIN (SELECT query_id, string_agg(chr(10) || '### ' || title || ' — ' || section || chr(10) || substring(content, 1, 800), chr(10) ORDER BY pos) AS l
+  FROM x_crbtop GROUP BY 1) b ON b.query_id = f.cls""")

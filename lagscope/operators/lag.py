@@ -231,6 +231,13 @@ def problematic_partitions(lags: DataFrame, factor: float = DEFAULTS.problem_fac
     )
 
 
+def problematic_lists(lags: DataFrame, factor: float = DEFAULTS.problem_factor) -> DataFrame:
+    """Problematic partitions of each topic as a sorted array (fewer than 1/factor of them)."""
+    return problematic_partitions(lags, factor).groupBy(*SNAPSHOT).agg(
+        F.sort_array(F.collect_list("partition")).alias("problematic_partitions")
+    )
+
+
 def topic_details(lags: DataFrame, scored: DataFrame) -> DataFrame:
     """Nested view: scored topics with their partitions and problematic partitions as arrays.
 

@@ -604,7 +604,8 @@ def rejected_recs(i):
 def analysis_context(i):
     c = i.cycle()
     incidents, runbooks = i.cycle_hits(c.worst)
-    return recommend.analysis_context(c.topics, c.cycles, incidents, runbooks)
+    topics = c.topics.join(lag.problematic_lists(i.lags()), lag.SNAPSHOT, "left")
+    return recommend.analysis_context(topics, c.cycles, incidents, runbooks)
 
 
 @query
