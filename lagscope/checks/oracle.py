@@ -196,7 +196,7 @@ SELECT o_orderkey::VARCHAR AS analysis_id,
        CASE o_orderstatus WHEN 'F' THEN 'THRESHOLD_BREACH' WHEN 'P' THEN 'ANOMALY_DETECTED' ELSE 'SCHEDULED_POLL' END AS triggered_by,
        o_orderdate::TIMESTAMP AS analyzed_at,
        CASE o_orderpriority[1] WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-       round(least(o_totalprice / 500000, 1.0), 6) AS overall_confidence, 'customer ' || o_custkey AS llm_root_cause_summary
+       least(floor(o_totalprice) / 500000, 1.0)::DOUBLE AS overall_confidence, 'customer ' || o_custkey AS llm_root_cause_summary
 FROM orders"""
 CTES["x_recs"] = """
 SELECT l_orderkey::VARCHAR AS analysis_id, l_linenumber AS ordinal,
@@ -695,3 +695,10 @@ LEFT JOIN (SELECT query_id, string_agg('  - [' || incident_id || '] ' || cls ||
     printf('%.2f', score) || ')' || chr(10) || '    summary: ' || summary, chr(10) ORDER BY rank) AS l FROM x_csimilar GROUP BY 1) i ON i.query_id = f.cls
 LEFT JOIN (SELECT query_id, string_agg(chr(10) || '### ' || title || ' — ' || section || chr(10) || substring(content, 1, 800), chr(10) ORDER BY pos) AS l
   FROM x_crbtop GROUP BY 1) b ON b.query_id = f.cls""")
+
+# A stream gives the rows of the batch operator.
+ORACLE["stream_lag_totals"] = ORACLE["topic_total_lag"]
+ORACLE["stream_velocity"] = ORACLE["lag_velocity"]
+ORACLE["stream_alert_states"] = ORACLE["alert_states"]
+ORACLE["stream_ttl_dedup"] = ORACLE["ttl_dedup"]
+ORACLE["stream_messages_per_minute"] = ORACLE["messages_per_minute"]

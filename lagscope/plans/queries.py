@@ -28,7 +28,9 @@ from ..operators import (
 )
 from ..schemas import BUSINESS_EVENTS, _EVENT_BASE
 from ..sources import derived as D
+from ..session import working_dir
 from ..sources import readers, sinks
+from ..streaming import jobs
 from .cycle import hits_of_cycle, lag_cycle, scan_health
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -773,3 +775,71 @@ def poison_messages(i):
         F.col("offset").alias("committed_offset"),
     )
     return readers.poison_messages(m, stuck)
+
+
+# ---------------------------------------------------------------- streams
+#
+# Each runs a stream to its end over a stored table and returns what it wrote. One row far in
+# the future moves the watermark past all others; it is taken out again.
+
+FLUSH = "2100-01-01 00:00:00"
+
+
+def _streamed(i: Inputs, table: DataFrame, ts: str, flush: dict, transform) -> DataFrame:
+    """Store a table, stream it through ``transform`` into a new table, and read that."""
+    row = i.spark.range(1).select(
+        *[
+            (F.lit(FLUSH) if f.name == ts else F.lit(flush.get(f.name))).cast(f.dataType).alias(f.name)
+            for f in table.schema.fields
+        ]
+    )
+    source, target, state = (working_dir(i.spark, f"stream-{n}") for n in ("input", "output", "state"))
+    table.unionByName(row).write.parquet(source)
+    out = transform(readers.stream_table(i.spark, source, table.schema))
+    jobs.start_table(out, target, state).trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.schema(out.schema).parquet(target)
+
+
+@query
+def stream_lag_totals(i):
+    flush = {"group_id": "~", "topic": "~", "partition": 0, "committed_offset": 0, "log_end_offset": 0}
+    out = _streamed(i, i.snapshots(), "snapshotted_at", flush, lambda s: jobs.lag_totals(s, "2 hours", HOURLY))
+    return out.filter("group_id <> '~'")
+
+
+@query
+def stream_velocity(i):
+    flush = {"group_id": "~", "topic": "~", "total_lag": 0, "total_lag_raw": 0, "partition_rows": 0,
+             "lagging_partitions": 0, "stalled_count": 0, "max_lag": 0}
+    topics = i.topics().select(*lag.SNAPSHOT, *jobs.TOPIC_COLUMNS)
+    out = _streamed(i, topics, "snapshotted_at", flush, lambda s: jobs.velocity(s, "2 hours", HOURLY))
+    return out.filter("group_id <> '~'").select(*lag.SNAPSHOT, "total_lag", "lag_velocity_per_min")
+
+
+@query
+def stream_alert_states(i):
+    out = _streamed(
+        i, metrics.lag_sum_series(i.lags()), "ts", {"group_id": "~", "topic": "~", "value": 0},
+        lambda s: jobs.alert_states(s, F.col("value") > 10_000, 5 * HOUR, ["group_id", "topic"], delay="2 hours"),
+    )
+    return out.filter("group_id <> '~'")
+
+
+@query
+def stream_ttl_dedup(i):
+    keys = ["group_id", "lag_classification", "topic"]
+    hits = lag.worst_group_topic(i.scored(), HOURLY).select(*keys, "snapshotted_at")
+    out = _streamed(
+        i, hits, "snapshotted_at", {k: "~" for k in keys},
+        lambda s: jobs.ttl_dedup(s, keys, "snapshotted_at", HOURLY.dedup_ttl_seconds, "2 hours"),
+    )
+    return out.filter("group_id <> '~'")
+
+
+@query
+def stream_messages_per_minute(i):
+    flush = {"topic": "~", "partition": 0, "offset": -1}
+    out = _streamed(
+        i, i.messages(), "timestamp", flush, lambda s: jobs.messages_per_window(s, delay="10 minutes")
+    )
+    return out.filter("topic <> '~'")

@@ -241,7 +241,7 @@ def analyses(orders: DataFrame) -> DataFrame:
         .when(p == "3", "MEDIUM")
         .otherwise("LOW")
         .alias("severity"),
-        F.round(F.least(F.col("o_totalprice") / 500000, F.lit(1.0)), 6).alias("overall_confidence"),
+        F.least(F.floor("o_totalprice") / 500000, F.lit(1.0)).alias("overall_confidence"),
         F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("llm_root_cause_summary"),
     )
 

@@ -21,14 +21,17 @@ def append_snapshots(snapshots: DataFrame, path: str) -> None:
     )
 
 
-def insert_ignore(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def insert_ignore(
+    new: DataFrame, existing: DataFrame, keys: str | Sequence[str], order: Sequence[str]
+) -> DataFrame:
     """Rows of ``new`` whose key is not stored yet; the first by ``order`` of each key."""
-    fresh = new.join(existing.select(key), key, "left_anti")
-    others = [c for c in new.columns if c != key]
-    first = fresh.groupBy(key).agg(
-        F.min(F.struct(*[F.col(c) for c in order], *[c for c in others if c not in order])).alias("r")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    fresh = new.join(existing.select(*keys), keys, "left_anti")
+    others = [c for c in new.columns if c not in keys]
+    first = fresh.groupBy(*keys).agg(
+        F.min_by(F.struct(*others), F.struct(*order)).alias("r")
     )
-    return first.select(*[F.col(c) if c == key else F.col(f"r.{c}").alias(c) for c in new.columns])
+    return first.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in new.columns])
 
 
 def vector_upsert(stored: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
