@@ -23,6 +23,14 @@ from pyspark.sql import functions as F
 from .columns import micros
 
 
+def slice_of(ts: str, seconds: int, shift_us: int = 0) -> Column:
+    """Number of the time slice of a row. Never null, so that a join on it adds no filter to one
+    side only, and both sides of ``runs`` and ``previous`` can share one shuffle."""
+    return F.coalesce(
+        F.expr(f"(unix_micros(`{ts}`) + {shift_us}) div {seconds * 1_000_000}"), F.lit(0).cast("bigint")
+    )
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,10 +44,8 @@ def trailing(
     ``build`` gets a window ordered by ``_us`` (microseconds) and returns the new columns; it
     must use frames that stay inside the lookback, or check the age of what they find.
     """
-    width = bucket_seconds * 1_000_000
-    reach = int(lookback_seconds * 1_000_000)
-    home = F.expr(f"unix_micros(`{ts}`) div {width}")
-    last = F.expr(f"(unix_micros(`{ts}`) + {reach}) div {width}")
+    home = slice_of(ts, bucket_seconds)
+    last = slice_of(ts, bucket_seconds, int(lookback_seconds * 1_000_000))
     sliced = df.select(
         "*",
         micros(ts).alias("_us"),
@@ -67,22 +73,23 @@ def runs(
 
     ``value`` must not be null and ``ts`` must be unique per key.
     """
-    width = bucket_seconds * 1_000_000
-    sliced = df.withColumn("_slice", F.expr(f"unix_micros(`{ts}`) div {width}"))
+    sliced = df.withColumn("_slice", slice_of(ts, bucket_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
     before = F.lag(value).over(inside)
     marked = sliced.withColumn(
         "_change", F.when(before.isNotNull() & (before != F.col(value)), F.col(ts))
     )
 
+    # The whole last row is kept so that this branch reads the same columns as the other one,
+    # and the shuffle below both is run once.
     per_slice = marked.groupBy(*keys, "_slice").agg(
         F.min(ts).alias("_first_ts"),
         F.min_by(value, ts).alias("_first_value"),
-        F.max_by(value, ts).alias("_last_value"),
+        F.max_by(F.struct(*df.columns), ts).alias("_last_row"),
         F.max("_change").alias("_last_change"),
     )
     across = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
-    carried = F.lag("_last_value").over(across)
+    carried = F.lag(F.col("_last_row")[value]).over(across)
     entry = (
         per_slice.withColumn("_known", carried.isNotNull())
         .withColumn(
@@ -122,14 +129,14 @@ def previous(
     bucket_seconds: int,
 ) -> DataFrame:
     """Add ``prev_<column>`` for each column: its value on the row before, however long ago."""
-    width = bucket_seconds * 1_000_000
-    sliced = df.withColumn("_slice", F.expr(f"unix_micros(`{ts}`) div {width}"))
+    sliced = df.withColumn("_slice", slice_of(ts, bucket_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
     per_slice = sliced.groupBy(*keys, "_slice").agg(
-        F.max_by(F.struct(*columns), ts).alias("_last_row")
+        F.max_by(F.struct(*df.columns), ts).alias("_last_row")
     )
     across = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
-    entry = per_slice.select(*keys, "_slice", F.lag("_last_row").over(across).alias("_entry"))
+    carried = F.struct(*[F.col(f"_last_row.{c}").alias(c) for c in columns])
+    entry = per_slice.select(*keys, "_slice", F.lag(carried).over(across).alias("_entry"))
     row = F.coalesce(F.lag(F.struct(*columns)).over(inside), F.col("_entry"))
     return (
         sliced.join(entry, [*keys, "_slice"])
@@ -142,8 +149,7 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, name: str, bucket_seconds: int
 ) -> DataFrame:
     """Add the sum of ``value`` from the first row of the key up to each row."""
-    width = bucket_seconds * 1_000_000
-    sliced = df.withColumn("_slice", F.expr(f"unix_micros(`{ts}`) div {width}"))
+    sliced = df.withColumn("_slice", slice_of(ts, bucket_seconds))
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     entry = per_slice.select(

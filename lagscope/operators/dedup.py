@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import store
+
 
 def dedup_key(group: str = "group_id", cls: str = "lag_classification", topic: str = "topic"):
     """Text key of a hit."""
@@ -55,8 +57,12 @@ def ttl_dedup(
     key_fields = [df.schema[k] for k in keys]
     others = [c for c in df.columns if c not in (*keys, ts)]
 
-    rows = df.groupBy(*keys, ts).agg(
-        *([F.min(F.struct(*others)).alias("_row")] if others else [F.count(F.lit(1)).alias("_row")])
+    # Read three times below, so it is written once.
+    rows = store(
+        df.groupBy(*keys, ts).agg(
+            *([F.min(F.struct(*others)).alias("_row")] if others else [F.count(F.lit(1)).alias("_row")])
+        ),
+        "hits",
     )
     hits = rows.select(
         *keys, F.unix_micros(ts).alias("_t"), F.expr(f"unix_micros(`{ts}`) div {width}").alias("_slice")

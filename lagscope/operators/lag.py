@@ -380,8 +380,9 @@ def simultaneous_lag(with_v: DataFrame, min_groups: int = 2, min_topics: int = 2
 def catch_up(topics: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """Minutes until a topic has no lag, from the rates since the snapshot before; null when
     the group is not catching up."""
+    needed = topics.select(*SNAPSHOT, "total_lag", "committed_total", "log_end_total")
     out = previous(
-        topics, ["group_id", "topic"], "snapshotted_at",
+        needed, ["group_id", "topic"], "snapshotted_at",
         ["snapshotted_at", "committed_total", "log_end_total"], cfg.bucket_seconds,
     )
     minutes = (micros("snapshotted_at") - micros("prev_snapshotted_at")) / 60_000_000

@@ -186,8 +186,11 @@ def alert_offline(meta: DataFrame, for_seconds: float = OFFLINE[2], cfg: Thresho
 def lag_escalations(topics_with_velocity: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """Topics whose lag has been above the limit and growing for the whole period."""
     rising = (F.col("total_lag") > cfg.escalation_lag) & (F.col("lag_velocity_per_min") > 0)
+    needed = topics_with_velocity.select(
+        "snapshotted_at", "group_id", "topic", "total_lag", "lag_velocity_per_min"
+    )
     return alert_states(
-        topics_with_velocity, rising, cfg.escalation_seconds, ["group_id", "topic"],
+        needed, rising, cfg.escalation_seconds, ["group_id", "topic"],
         ts="snapshotted_at", cfg=cfg,
     ).filter("state = 'firing'")
 

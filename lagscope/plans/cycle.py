@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from ..operators import dedup, health, lag, recommend
-from ..session import working_dir
+from ..session import store
 
 
 @dataclass(frozen=True)
@@ -24,17 +24,6 @@ class Cycle:
     recommendations: DataFrame  # ranked, per actionable snapshot
 
 
-def store(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result that several branches read to the shared folder, and read it from there.
-
-    The branches then read only the columns they need, and a lost executor costs no more than
-    re-reading a file.
-    """
-    path = working_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def scan_health(meta: DataFrame) -> DataFrame:
     """Counts and imbalance of each scan, in one row."""
     return health.partition_health(meta).join(
@@ -57,7 +46,7 @@ def lag_cycle(
     scored = store(lag.analyze_topics(snapshots, cfg), "scored")
     groups = lag.group_rollup(scored)
     checked = health.attach_health(lag.cycles(groups, cfg), scan_health(meta), cycle_seconds)
-    actionable = lag.cycle_severity(lag.actionable_cycles(checked), cfg)
+    actionable = store(lag.cycle_severity(lag.actionable_cycles(checked), cfg), "cycles")
     worst = dedup.ttl_dedup(
         lag.worst_group_topic(scored, cfg),
         ["group_id", "lag_classification", "topic"],
@@ -75,8 +64,12 @@ def lag_cycle(
     topics = scored.join(high, ["snapshotted_at", "group_id"]).join(
         actionable.select("snapshotted_at"), "snapshotted_at", "left_semi"
     )
-    recs = recommend.ranked_recs(
-        recommend.heuristic_topic_recs(topics), recommend.heuristic_cluster_recs(actionable, cfg)
+    recs = store(
+        recommend.ranked_recs(
+            store(recommend.heuristic_topic_recs(topics), "topic-recs"),
+            recommend.heuristic_cluster_recs(actionable, cfg),
+        ),
+        "recommendations",
     )
     return Cycle(scored, groups, actionable, worst, topics, recs)
 
