@@ -59,9 +59,13 @@ def velocity(topics: DataFrame, delay: str = "2 minutes", cfg: Thresholds = DEFA
     )
 
 
-def analyze_topics(snapshots: DataFrame, delay: str = "2 minutes", cfg: Thresholds = DEFAULTS) -> DataFrame:
-    """Snapshots to classified and scored topics, as a stream."""
-    return lag.score(lag.classify(velocity(lag_totals(snapshots, delay, cfg), delay, cfg), cfg), cfg)
+def analyze_topics(topics: DataFrame, delay: str = "2 minutes", cfg: Thresholds = DEFAULTS) -> DataFrame:
+    """Topic totals to classified and scored topics, as a stream.
+
+    A stream cannot go from an aggregation into keyed state, so ``lag_totals`` is written to a
+    table (``start_table``) and ``topics`` is a stream over that table.
+    """
+    return lag.score(lag.classify(velocity(topics, delay, cfg), cfg), cfg)
 
 
 def alert_states(
@@ -115,9 +119,10 @@ def ttl_dedup(
 
 
 def _marked(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """The stream with a watermark, unless the column already carries one from upstream."""
-    has = "spark.watermarkDelayMs" in (stream.schema[ts].metadata or {})
-    return stream if has else stream.withWatermark(ts, delay)
+    """The stream with a watermark on ``ts``. A mark left in the schema by another stream that
+    wrote the table means nothing here and is taken off."""
+    plain = stream.select(*[F.col(c).alias(c, metadata={}) if c == ts else F.col(c) for c in stream.columns])
+    return plain.withWatermark(ts, delay)
 
 
 def messages_per_window(
