@@ -28,16 +28,16 @@ def section_chunks(
     their first line and carry the title in front. The title is the whole text before the first
     delimiter, or with ``title="first_line"`` its first line.
     """
+    kept = [c for c in docs.columns if c != "content"]
     preamble = strip(F.col("sections")[0])
     if title == "first_line":
         preamble = strip(F.substring_index(preamble, "\n", 1))
-    parts = docs.withColumn(
-        "sections", F.split("content", re.escape(delimiter).replace("\\\n", "\\n"), -1)
-    ).select(
-        *[c for c in docs.columns if c != "content"],
-        F.regexp_replace(preamble, "^[# ]+", "").alias("title"),
-        F.posexplode("sections").alias("section_no", "text"),
+    pattern = re.escape(delimiter).replace("\\\n", "\\n")
+    # The title is worked out per document, before the sections become rows.
+    titled = docs.select(*kept, F.split("content", pattern, -1).alias("sections")).withColumn(
+        "title", F.regexp_replace(preamble, "^[# ]+", "")
     )
+    parts = titled.select(*kept, "title", F.posexplode("sections").alias("section_no", "text"))
     later = F.col("section_no") > 0
     # The title is cut to the limit before it is put in front, so long ones are not copied whole.
     body = F.when(
@@ -45,7 +45,7 @@ def section_chunks(
     ).otherwise(F.col("text"))
     name = F.when(later, strip(F.substring_index("text", "\n", 1))).otherwise("overview")
     return parts.select(
-        *[c for c in docs.columns if c != "content"],
+        *kept,
         stable_id(F.concat_ws("_", "runbook_id", F.col("section_no").cast("string"))).alias("id"),
         "section_no",
         "title",
@@ -54,30 +54,30 @@ def section_chunks(
     )
 
 
-def keyword_array(
-    content: Column, keywords: Sequence[str], default: Sequence[str]
-) -> Column:
-    """Keywords that occur in a text, as they are or in lower case with spaces."""
-    lower = F.lower(content)
+def keyword_tags(
+    docs: DataFrame,
+    keywords: Sequence[str] = RUNBOOK_KEYWORDS,
+    default: Sequence[str] = DEFAULT_TAGS,
+) -> DataFrame:
+    """Add ``lag_classifications``: the keywords that occur in each document, as they are or in
+    lower case with spaces; the default where none does. Each text is lowered once."""
+    lowered = docs.withColumn("_lower", F.lower("content"))
     found = F.array_compact(
         F.array(
             *[
-                F.when(lower.contains(k.lower().replace("_", " ")) | content.contains(k), k)
+                F.when(
+                    F.col("_lower").contains(k.lower().replace("_", " ")) | F.col("content").contains(k), k
+                )
                 for k in keywords
             ]
         )
     )
-    return F.when(F.size(found) == 0, F.array(*[F.lit(d) for d in default])).otherwise(found)
-
-
-def keyword_tags(
-    docs: DataFrame,
-    keywords: Sequence[str] = RUNBOOK_KEYWORDS,
-    default: Sequence[str] = DEFAULT_TAGS,
-) -> DataFrame:
-    """Add ``lag_classifications``: the tags of each document."""
-    return docs.withColumn(
-        "lag_classifications", keyword_array(F.col("content"), keywords, default)
+    tagged = lowered.select(*docs.columns, found.alias("lag_classifications"))
+    return tagged.withColumn(
+        "lag_classifications",
+        F.when(F.size("lag_classifications") > 0, F.col("lag_classifications")).otherwise(
+            F.array(*[F.lit(d) for d in default])
+        ),
     )
 
 

@@ -134,9 +134,16 @@ def validate_recs(raw: DataFrame, column: str = "output") -> tuple[DataFrame, Da
     """
     others = [c for c in raw.columns if c != column]
     parsed = raw.select(
-        *others,
-        F.from_json(column, MODEL_OUTPUT, {"mode": "PERMISSIVE"}).alias("m"),
-        F.try_parse_json(F.col(column)).isNull().alias("broken"),
+        *others, column, F.from_json(column, MODEL_OUTPUT, {"mode": "PERMISSIVE"}).alias("m")
+    )
+    # Only output that gave nothing is parsed again, to tell an empty object from broken text.
+    nothing = F.coalesce(
+        F.col("m.root_cause_summary").cast("string"),
+        F.col("m.confidence").cast("string"),
+        F.when(F.col("m.recommendations").isNotNull(), ""),
+    ).isNull()
+    parsed = parsed.withColumn(
+        "broken", F.when(nothing, F.try_parse_json(F.col(column)).isNull()).otherwise(False)
     )
     rows = parsed.select(
         *others,

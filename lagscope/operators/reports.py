@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import iso_time
 
+# A result of at most this many short rows is sent to all tasks.
+BROADCAST_ROWS = 10_000
+
 
 def list_analyses(analyses: DataFrame, limit: int = 20, severity: str | None = None) -> DataFrame:
     """Newest analyses, of one severity where that is given."""
@@ -58,12 +61,24 @@ def list_recommendations(
     applied: bool | None = None,
     limit: int = 50,
 ) -> DataFrame:
-    """Newest recommendations with severity and time of their analysis."""
+    """Newest recommendations with severity and time of their analysis.
+
+    Only ids meet in the large join. The newest ``limit`` analyses that have a recommendation
+    are enough for ``limit`` rows, and so few that they can be sent to the recommendations.
+    """
     rows = recommendations
     if applied is not None:
         rows = rows.filter(F.coalesce("applied", F.lit(False)) == F.lit(applied))
+    newest = (
+        analyses.select("analysis_id", "severity", "analyzed_at")
+        .join(rows.select("analysis_id"), "analysis_id", "left_semi")
+        .orderBy(F.desc("analyzed_at"), "analysis_id")
+        .limit(limit)
+    )
+    if limit <= BROADCAST_ROWS:
+        newest = F.broadcast(newest)
     return (
-        rows.join(analyses.select("analysis_id", "severity", "analyzed_at"), "analysis_id")
+        rows.join(newest, "analysis_id")
         .orderBy(F.desc("analyzed_at"), "analysis_id", "ordinal", "recommendation_id")
         .limit(limit)
     )
