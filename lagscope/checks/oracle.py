@@ -376,6 +376,10 @@ ON r.analysis_id = a.analysis_id"""
 _plain["json_dead_letter"] = """
 SELECT topic, part AS "partition", off AS "offset", key, value, CASE WHEN value IS NULL THEN 'missing value' ELSE 'malformed JSON' END AS error
 FROM x_msg WHERE value IS NULL OR NOT json_valid(value)"""
+_plain["business_events"] = """
+SELECT topic, part AS "partition", off AS "offset", json_extract_string(value, '$.event_id') AS event_id,
+  json_extract_string(value, '$.timestamp') AS event_time, json_extract_string(value, '$.source') AS source
+FROM (SELECT * FROM x_msg WHERE value IS NOT NULL AND json_valid(value))"""
 _FIELDS = {
     "orders": [("order_id", "VARCHAR"), ("customer_id", "VARCHAR"), ("status", "VARCHAR"), ("total_amount", "DOUBLE"), ("items", "INT")],
     "payments": [("payment_id", "VARCHAR"), ("currency", "VARCHAR"), ("method", "VARCHAR"), ("status", "VARCHAR"), ("amount", "DOUBLE")],

@@ -28,7 +28,7 @@ from ..session import store
 
 def dedup_key(group: str = "group_id", cls: str = "lag_classification", topic: str = "topic"):
     """Text key of a hit."""
-    return F.concat_ws(":", F.lit("kafka_ops_dedup"), group, cls, topic)
+    return F.concat_ws(":", group, cls, topic)
 
 
 def _walk(times: np.ndarray, last: int | None, ttl: int) -> list[int]:

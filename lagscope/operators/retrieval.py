@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import cosine
+from ..functions.columns import cosine, dot
 
 # Queries up to this many bytes of vectors are sent to every task; more are split into blocks.
 LOCAL_QUERY_BYTES = 64 * 1024 * 1024
@@ -115,6 +115,7 @@ def vector_topk(
     column and an array column of the corpus that must contain its value. Few queries travel to
     the corpus, which then is not shuffled; when they are more than ``local_query_bytes``, both
     sides are cut into blocks and every pair of blocks becomes one task. Both ways are exact.
+    Vectors of another length than the queries' cannot be compared and are not found.
     """
     q_cols = ["query_id", "embedding"] + ([F.col(match[0]).alias("_match")] if match else [])
     c_cols = ["id", "embedding"] + ([F.col(match[1]).alias("_tags")] if match else [])
@@ -245,39 +246,49 @@ def runbook_search(
     )
 
 
+def hash_buckets(
+    vectors: DataFrame, key: str, bucket_length: float = 0.5, tables: int = 8, seed: int = 7
+) -> DataFrame:
+    """Index of a vector table: one narrow row (key, hash table, bucket) per hash table.
+
+    Can be stored once, partitioned by hash table, and used for many searches. The same
+    parameters give the same buckets for every table with vectors of the same length.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    unit = vectors.filter("embedding is not null").select(
+        key,
+        array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), norm))).alias("v"),
+    )
+    model = BucketedRandomProjectionLSH(
+        inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+    ).fit(unit)
+    return model.transform(unit).select(key, F.posexplode("hashes").alias("table_no", "hash")).select(
+        key, "table_no", vector_to_array("hash")[0].cast("bigint").alias("bucket")
+    )
+
+
 def vector_topk_lsh(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
     threshold: float,
+    index: DataFrame | None = None,
     bucket_length: float = 0.5,
     tables: int = 8,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate search for large corpora: only rows that share a hash bucket with the query
-    are scored, exactly. May miss rows that ``vector_topk`` finds; what it returns is right."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, key):
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return df.filter("embedding is not null").select(
-            key, array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), norm))).alias("v")
-        )
+    """Search for large corpora: only rows that share a bucket with some query are read and
+    scored, by the exact search. May miss rows that ``vector_topk`` finds; what it returns is
+    right. ``index`` is a stored ``hash_buckets`` of the corpus with the same parameters.
 
-    q, c = unit(queries, "query_id"), unit(corpus, "id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(c)
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    near = model.approxSimilarityJoin(q, c, reach, "distance").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.id").alias("id"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("score"),
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return (
-        near.filter(F.col("score") >= threshold)
-        .withColumn("position", F.row_number().over(w))
-        .filter(F.col("position") <= k)
-    )
+    Buckets pick rows, not pairs, so a bucket that holds much of the corpus adds no more rows
+    than the corpus has.
+    """
+    if index is None:
+        index = hash_buckets(corpus, "id", bucket_length, tables, seed)
+    wanted = hash_buckets(queries, "query_id", bucket_length, tables, seed).select("table_no", "bucket").distinct()
+    ids = index.join(wanted, ["table_no", "bucket"], "left_semi").select("id").distinct()
+    return vector_topk(queries, corpus.join(ids, "id", "left_semi"), k, threshold)

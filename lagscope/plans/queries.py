@@ -28,7 +28,7 @@ from ..operators import (
 )
 from ..schemas import BUSINESS_EVENTS, _EVENT_BASE
 from ..sources import derived as D
-from ..session import working_dir
+from ..session import store, working_dir
 from ..sources import readers, sinks
 from ..streaming import jobs
 from .cycle import hits_of_cycle, lag_cycle, scan_health
@@ -123,10 +123,11 @@ class Inputs:
         return D.recommendations(self.table("lineitem"))
 
     def rates(self) -> DataFrame:
-        return health.partition_rates(self.snapshots(), HOURLY)
+        # Read by the totals, the shares and the hotspots.
+        return store(health.partition_rates(self.snapshots(), HOURLY), "rates")
 
-    def hotspots(self) -> DataFrame:
-        return health.partition_hotspots(self.rates())
+    def hotspots(self, rates: DataFrame | None = None) -> DataFrame:
+        return health.partition_hotspots(self.rates() if rates is None else rates)
 
     def messages(self) -> DataFrame:
         return D.raw_messages(self.table("events"))
@@ -230,6 +231,16 @@ def json_dead_letter(i):
     return bad.select("topic", "partition", "offset", "key", "value", "error")
 
 
+@query
+def business_events(i):
+    from pyspark.sql import types as T
+
+    good, _ = readers.parse_json(i.messages(), T.StructType(_EVENT_BASE))
+    return good.select(
+        "topic", "partition", "offset", "data.event_id", F.col("data.timestamp").alias("event_time"), "data.source"
+    )
+
+
 def _business(topic: str) -> None:
     def fn(i):
         return readers.business_events(i.messages(), topic).withColumnRenamed("timestamp", "event_time")
@@ -443,7 +454,8 @@ def partition_hotspots(i):
 
 @query
 def hotspot_cleared(i):
-    return health.hotspot_cleared(i.rates(), i.hotspots())
+    rates = i.rates()
+    return health.hotspot_cleared(rates, i.hotspots(rates))
 
 
 @query
@@ -568,7 +580,9 @@ def retrieval_query_text(i):
 
 @query
 def vector_topk_lsh(i):
-    return retrieval.vector_topk_lsh(i.queries(), i.incident_vectors(), 20, THRESHOLD)
+    return retrieval.vector_topk_lsh(i.queries(), i.incident_vectors(), 20, THRESHOLD).select(
+        "query_id", "id", "score", "position"
+    )
 
 
 # ---------------------------------------------------------------- recommendations

@@ -55,8 +55,10 @@ def lag_snapshots(
         .groupBy("topic", "partition", "h")
         .agg(F.sum("m").alias("m"))
     )
+    # Few small rows become many below, so adaptive execution must not merge these partitions.
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("topic", "partition")
-    sparse = hourly.select(
+    sparse = hourly.repartition(parts, "topic", "partition").select(
         "*",
         F.sum("m").over(w.orderBy("h")).alias("total"),
         F.lead("h", 1).over(w.orderBy("h")).alias("next_h"),
