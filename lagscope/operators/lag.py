@@ -105,13 +105,12 @@ def recent_lag_history(
     newest snapshot of the table where it is left out."""
     span = int(minutes * 60_000_000)
     if asof is not None:
-        recent = lags.filter(micros("snapshotted_at") > micros(F.lit(asof).cast("timestamp")) - span)
+        after = F.timestamp_micros(micros(F.lit(asof).cast("timestamp")) - span)
     else:
-        # One row with one number: the only thing that is broadcast here.
-        newest = lags.agg((F.max(micros("snapshotted_at")) - span).alias("_after"))
-        recent = lags.join(
-            F.broadcast(newest), micros("snapshotted_at") > F.col("_after")
-        ).drop("_after")
+        # A scalar subquery: one value, known before the rows are read.
+        after = lags.agg(F.timestamp_micros(F.max(micros("snapshotted_at")) - span)).scalar()
+    # The bare column is compared, so that readers can skip files and days.
+    recent = lags.filter(F.col("snapshotted_at") > after)
     return recent.select(*SERIES, F.col("lag_raw").alias("lag"), "snapshotted_at")
 
 
