@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,14 @@ class Cycle:
     scored: DataFrame  # every (snapshot, group, topic)
     groups: DataFrame  # every (snapshot, group)
     cycles: DataFrame  # actionable snapshots with health and severity
-    worst: DataFrame  # worst group and topic per snapshot
     topics: DataFrame  # topics of the high groups of actionable snapshots
     recommendations: DataFrame  # ranked, per actionable snapshot
+    find_worst: Callable[[], DataFrame]
+
+    @cached_property
+    def worst(self) -> DataFrame:
+        """Worst group and topic per snapshot, without repeats; worked out when asked for."""
+        return self.find_worst()
 
 
 def scan_health(meta: DataFrame) -> DataFrame:
@@ -47,14 +54,18 @@ def lag_cycle(
     groups = lag.group_rollup(scored)
     checked = health.attach_health(lag.cycles(groups, cfg), scan_health(meta), cycle_seconds)
     actionable = store(lag.cycle_severity(lag.actionable_cycles(checked), cfg), "cycles")
-    worst = dedup.ttl_dedup(
-        lag.worst_group_topic(scored, cfg),
-        ["group_id", "lag_classification", "topic"],
-        "snapshotted_at",
-        cfg.dedup_ttl_seconds,
-    )
+
+    @cache
+    def find_worst() -> DataFrame:
+        return dedup.ttl_dedup(
+            lag.worst_group_topic(scored, cfg),
+            ["group_id", "lag_classification", "topic"],
+            "snapshotted_at",
+            cfg.dedup_ttl_seconds,
+        )
+
     if suppress_cycle:
-        fresh = worst.select("snapshotted_at")
+        fresh = find_worst().select("snapshotted_at")
         actionable = actionable.join(
             fresh.withColumn("_fresh", F.lit(True)), "snapshotted_at", "left"
         ).filter("_fresh or high_groups = 0").drop("_fresh")
@@ -71,7 +82,7 @@ def lag_cycle(
         ),
         "recommendations",
     )
-    return Cycle(scored, groups, actionable, worst, topics, recs)
+    return Cycle(scored, groups, actionable, topics, recs, find_worst)
 
 
 def hits_of_cycle(worst: DataFrame, hits: DataFrame) -> DataFrame:
