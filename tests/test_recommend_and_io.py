@@ -7,7 +7,7 @@ from lagscope.operators import recommend
 from lagscope.plans.cycle import lag_cycle
 from lagscope.sources import readers, sinks
 
-from helpers import at, naive, rows, snapshot_rows
+from helpers import at, rows, snapshot_rows
 
 
 def scored(spark, data):
