@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagscope.llm import warc
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.simhash_dedup import simhash_classes
+from lagscope.llm.token_store import token_store
+from lagscope.llm.toxicity import toxicity
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers have a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +28,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_store(documents(spark, sf_dir), tokenizer or tokenizer_file("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op5_token_store": op5_token_store,
+    "op6_warc": op6_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_warc": """
+        with p as (
+            select page_id, encode(coalesce(html, '')) as body from pages
+        ), d as (
+            select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p
+        ), k as (
+            select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by 1
+        )
+        select d.page_id, d.payload_bytes, d.payload_digest,
+            case when k.keeper is not null and k.keeper is distinct from d.page_id then 'revisit' else 'response' end as record_type,
+            case when k.keeper is distinct from d.page_id then k.keeper end as refers_to
+        from d left join k on d.payload_digest = k.payload_digest and d.payload_bytes >= 1000
+    """,
+}
