@@ -44,9 +44,12 @@ def small_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, colum
             at = to
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, its text's number, and the mask of bytes inside words."""
-    inside = ~SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, its text's number, and the mask of bytes inside words.
+
+    ``space`` has True for the bytes that part words.
+    """
+    inside = ~space[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.llm import warc
+from lagscope.llm.decontamination import contaminated
+from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.simhash_dedup import simhash_classes
 from lagscope.llm.token_store import token_store
@@ -28,6 +30,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tie")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,12 +50,18 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {
