@@ -77,6 +77,15 @@ def word_ids(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary
 
 
+def gather(values: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of the values that ``index`` names, in a row, and how many each place has."""
+    sizes = np.array([len(v) // 4 for v in values], np.int64)
+    flat, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+    counts = sizes[index]
+    total = np.cumsum(counts)
+    return flat[np.repeat(first[index] - total + counts, counts) + np.arange(total[-1] if len(total) else 0)], counts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (the finisher of splitmix64); one to one."""
     x = np.asarray(x).astype(np.uint64)

@@ -10,6 +10,7 @@ from lagscope.llm import warc
 from lagscope.llm.decontamination import contaminated
 from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
+from lagscope.llm.sentencepiece_fst import encode_documents
 from lagscope.llm.simhash_dedup import simhash_classes
 from lagscope.llm.token_store import token_store
 from lagscope.llm.toxicity import toxicity
@@ -30,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), model or tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tie")
 
@@ -56,6 +61,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,

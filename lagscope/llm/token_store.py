@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagscope.llm.arrays import small_batches, text_bytes
+from lagscope.llm.arrays import gather, small_batches, text_bytes
 from lagscope.llm.files import make_folder, read_whole, write_new
 from lagscope.llm.wavelet import Shard, write_shard
 from lagscope.session import store, working_dir
@@ -119,11 +119,7 @@ class Encoder:
         coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         index = np.asarray(coded.indices)
         ids = self._of(coded.dictionary.to_pylist(), special)
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[index]
-        total = np.cumsum(counts)
-        out = flat[np.repeat(first[index] - total + counts, counts) + np.arange(total[-1])]
+        out, counts = gather(ids, index)
         owner = np.searchsorted(offsets, edges[:-1], side="right") - 1
         return out, np.bincount(owner, weights=counts, minlength=docs).astype(np.int64)
 
