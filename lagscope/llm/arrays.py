@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -77,6 +78,14 @@ def word_ids(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def gather(values: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit numbers of the values that ``index`` names, in a row, and how many each place has."""
     sizes = np.array([len(v) // 4 for v in values], np.int64)

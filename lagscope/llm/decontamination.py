@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagscope.llm.arrays import LOWER, find_words, mix, small_batches, text_bytes, word_array, word_ids
+from lagscope.llm.arrays import LOWER, find_words, mix, small_batches, text_bytes, unused, word_array, word_ids
 
 # The smallest set found of five positions in at most eight that meets the rule above.
 MASKS = [(0, 1, 2, 5, 7), (0, 2, 3, 4, 5), (0, 2, 4, 6, 7)]
@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, all columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found_id"), F.col("tie").alias("_found_tie")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs["text"]) == F.col("_found_tie"))
+    a, b = (unused(docs, n) for n in ("found_id", "found_tie"))
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(a), F.col("tie").alias(b)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(docs["text"]) == F.col(b))
     return docs.join(found, same, "left_anti")

@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that the classifier does not reject, all columns."""
     prefix = "_quality_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
+    while any(c.lower().startswith(prefix) for c in docs.columns):  # a prefix that no column has
         prefix = f"_{prefix}"
     out = scored(docs, train(docs, labels), prefix)
     return out.where(F.col(f"{prefix}score") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -12,6 +12,7 @@ from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.sentencepiece_fst import encode_documents
 from lagscope.llm.simhash_dedup import simhash_classes
+from lagscope.llm.suffix_dedup import repeated_passages
 from lagscope.llm.token_store import token_store
 from lagscope.llm.toxicity import toxicity
 
@@ -59,6 +60,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -68,6 +73,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagscope.llm.arrays import LOWER, find_words, mix, small_batches, text_bytes
+from lagscope.llm.arrays import LOWER, find_words, mix, small_batches, text_bytes, unused
 from lagscope.llm.components import components
 from lagscope.session import store
 
@@ -192,14 +192,50 @@ def _in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(block, prints)
 
 
-def simhash_classes(docs: DataFrame) -> DataFrame:
-    """Fingerprint and class of every row: doc_id, fingerprint (hex), component_id."""
-    rows = store(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_fingerprint, "doc_id long, print long"), "simhash-prints")
+def _classes(rows: DataFrame) -> DataFrame:
+    """Of rows of (doc_id, print): each print and the smallest doc_id of its class."""
     distinct = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     blocks = distinct.select("print").mapInArrow(_to_blocks, "block long, print long")
     found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_in_blocks, "a long, b long")
     roots = components(found, "simhash-links")
     member = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = member.join(lowest, "root").select("print", "component_id")
+    return member.join(lowest, "root").select("print", "root", "component_id")
+
+
+def simhash_classes(docs: DataFrame) -> DataFrame:
+    """Fingerprint and class of every row: doc_id, fingerprint (hex), component_id."""
+    rows = store(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_fingerprint, "doc_id long, print long"), "simhash-prints")
+    known = _classes(rows).drop("root")
     return rows.join(known, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class, all columns: the smallest doc_id, then the smallest hash of the text.
+
+    Rows of one doc_id and text are one document; one of them stays.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(batch.column(2)).view(np.int64))], ["doc_id", "tie", "print"])
+
+    rows = store(keys.mapInArrow(run, "doc_id long, tie long, print long"), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")
+    of_print = rows.groupBy("print").agg(first)
+    best = of_print.join(_classes(rows).select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first"))
+    stay = best.select(F.col("first.doc_id").alias("id"), F.col("first.tie").alias("tie"))
+    left = _with_key(docs, stay, "left_semi")
+    # Repeated rows are rare, so they are looked for in the keys, and only they are numbered.
+    again = store(rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), "tie"), "simhash-again")
+    if again.isEmpty():
+        return left
+    return _with_key(left, again, "left_anti").unionByName(_with_key(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _with_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents with (id, tie), whatever the documents' columns are called."""
+    a, b = (unused(docs, n) for n in ("id", "tie"))
+    named = keys.select(F.col("id").alias(a), F.col("tie").alias(b))
+    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(docs["text"]) == F.col(b)), how)

@@ -59,7 +59,7 @@ def test_against_all_alignments(spark):
 
 
 def test_rows_that_stay(spark, texts):
-    docs = spark.createDataFrame([*texts, (1, "a text apart")], "doc_id long, text string").selectExpr("*", "1 as id", "'x' as seed", "2 as tie")
+    docs = spark.createDataFrame([*texts, (1, "a text apart")], "doc_id long, text string").selectExpr("*", "1 as id", "'x' as seed", "2 as tie", "3 as found_id")
     items = spark.createDataFrame([(1, texts[0][1][:200]), (None, "two words"), (2, None)], "item_id long, text string")
     left = clean(docs, items)
     assert left.columns == docs.columns

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from lagscope.llm.simhash_dedup import PLACES, SEGMENTS, block_keys, distances, links, simhash_classes
+from lagscope.llm.simhash_dedup import PLACES, SEGMENTS, block_keys, distances, links, one_of_each, simhash_classes
 
 
 def fingerprint(text):
@@ -78,3 +78,13 @@ def test_blocks_find_every_link():
 def test_a_block_is_bounded():
     assert max(a[1] + b[1] for a, b in combinations(SEGMENTS, 2)) == 12
     assert sum(w for _, w in SEGMENTS) == 64 and len(PLACES) == 11
+
+
+def test_one_document_of_each_class_stays(spark, texts):
+    docs = spark.createDataFrame([(d, t, "en") for d, t in texts], "doc_id long, text string, lang string").selectExpr("*", "1 as print", "2 as tie", "3 as id", "4 as _id")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups = {}
+    for d, _, c in classes(texts):
+        groups.setdefault(c, []).append(d)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(x for x in g if x is not None) for g in groups.values())
