@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from lagscope.session import working_dir
 
-PARCEL = "bucket int, chunk long, payload binary"
+PARCEL = "bucket int, chunk long, payload binary, stats array<long>"
+NOTE = -1  # the chunk of payloads that are for all
 
 
 def write_chunks(rows: DataFrame, name: str) -> DataFrame:
@@ -30,9 +32,12 @@ def write_chunks(rows: DataFrame, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def parcels(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def parcels(rows: list[tuple[int, int, bytes]], stats: list[int] | None = None) -> pa.RecordBatch:
+    """Rows of a table of parcels; the numbers of ``stats`` stand in the first."""
     bucket, chunk, payload = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(payload, pa.binary())], ["bucket", "chunk", "payload"])
+    numbers = [stats if i == 0 else None for i in range(len(rows))]
+    arrays = [pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(payload, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "payload", "stats"])
 
 
 def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]], *columns: str) -> DataFrame:
@@ -42,22 +47,34 @@ def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]],
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = row.pop("chunk")
-                yield parcels([(bucket, chunk, payload) for bucket, payload in question(**row)])
+                for bucket, payload in question(**row):
+                    yield parcels([(bucket, chunk, payload)])
 
     return chunks.select("chunk", *columns).mapInArrow(run, PARCEL)
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """``reply`` gets all payloads of a bucket and returns one for each."""
+class Reply(NamedTuple):
+    """What a bucket answers."""
+
+    payloads: list[bytes]  #: one for each payload asked, in order
+    stats: list[int] | None = None  #: numbers to add up over buckets
+    note: bytes | None = None  #: for all chunks
+
+
+def answer(asked: DataFrame, reply: Callable[[list[bytes]], Reply]) -> DataFrame:
+    """The replies of all buckets; each sees all payloads sent to it."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = reply(table.column("payload").to_pylist())
-        return table.set_column(2, "payload", pa.array(out, pa.binary()))
+        bucket, out = table.column("bucket")[0].as_py(), reply(table.column("payload").to_pylist())
+        rows = [(bucket, c, p) for c, p in zip(table.column("chunk").to_pylist(), out.payloads, strict=True)]
+        if out.note is not None:
+            rows.append((bucket, NOTE, out.note))
+        return pa.Table.from_batches([parcels(rows, out.stats)])
 
-    return asked.groupBy("bucket").applyInArrow(run, PARCEL)
+    return asked.select("bucket", "chunk", "payload").groupBy("bucket").applyInArrow(run, PARCEL)
 
 
 def bring(chunks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
     """The chunks with the answers to them as ``column``, a list of (bucket, payload) by bucket."""
-    mine = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias(column))
+    mine = answers.where(F.col("chunk") != NOTE).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias(column))
     return chunks.join(mine, "chunk", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.llm import warc
 from lagscope.llm.decontamination import contaminated
+from lagscope.llm.katz import katz_scores
 from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.sentencepiece_fst import encode_documents
@@ -52,6 +53,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False))
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
 
@@ -71,6 +76,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
+    "op7_katz_scores": op7_katz_scores,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lagscope.llm.arrays import mix, pack, pack_sorted, small_batches, text_bytes, unpack, unpack_sorted
-from lagscope.llm.exchange import answer, ask, bring, write_chunks
+from lagscope.llm.exchange import Reply, answer, ask, bring, write_chunks
 from lagscope.llm.suffix_array import same_as_before, sort_suffixes
 from lagscope.session import store
 
@@ -194,7 +194,7 @@ def _repeats(order: np.ndarray, new: np.ndarray, *when: np.ndarray) -> np.ndarra
     return out
 
 
-def compare_stretches(payloads: list[bytes]) -> list[bytes]:
+def compare_stretches(payloads: list[bytes]) -> Reply:
     """Of each stretch: the first or only one of its kind, repeated, or open to comparison within its anchor."""
     anchors, contents, whens = [], [], []
     for p in payloads:
@@ -214,7 +214,7 @@ def compare_stretches(payloads: list[bytes]) -> list[bytes]:
     open_groups = several[np.cumsum(new) - 1]
     at = order[open_groups]
     state[at] = np.where(state[at] == FIRST, OPEN, state[at])
-    return [pack(part) for part in np.split(state, np.cumsum(sizes)[:-1])]
+    return Reply([pack(part) for part in np.split(state, np.cumsum(sizes)[:-1])])
 
 
 def repeated_windows(strings: list[bytes], windows: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
@@ -240,7 +240,7 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, rank: np.ndarray
     return [out[a : a + n] for a, n in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
-def compare_windows(payloads: list[bytes]) -> list[bytes]:
+def compare_windows(payloads: list[bytes]) -> Reply:
     """Which windows of each open stretch are repeated, by suffix arrays over stretches of one anchor."""
     anchors, strings, windows, whens = [], [], [], []
     for p in payloads:
@@ -273,10 +273,10 @@ def compare_windows(payloads: list[bytes]) -> list[bytes]:
         bits = np.concatenate([np.zeros(0, bool), *found[begin : begin + size]])
         out.append(pack(np.packbits(bits)))
         begin += size
-    return out
+    return Reply(out)
 
 
-def compare_hashes(payloads: list[bytes]) -> list[bytes]:
+def compare_hashes(payloads: list[bytes]) -> Reply:
     """Which windows of hot anchors are repeated, by the windows' hashes."""
     low, high, whens = [], [], []
     for p in payloads:
@@ -289,7 +289,7 @@ def compare_hashes(payloads: list[bytes]) -> list[bytes]:
     ids, ties, place = (np.concatenate([w[i] for w in whens]) for i in range(3))
     order = np.lexsort((place, ties, ids, x, y))
     bits = _repeats(order, _changes(x[order], y[order]), ids, ties, place)
-    return [pack(np.packbits(part)) for part in np.split(bits, np.cumsum(sizes)[:-1])]
+    return Reply([pack(np.packbits(part)) for part in np.split(bits, np.cumsum(sizes)[:-1])])
 
 
 class Plan:
