@@ -34,8 +34,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from lagscope.llm.arrays import gather, small_batches, text_bytes
 
 SPACE = "▁"
-KEPT = 400_000
-PAIRS = 4_000_000
+# Entries kept by a Python process, which serves tasks of other operators as well.
+KEPT = 120_000
+PAIRS = 300_000
 
 # Kinds of pieces in a model file, and what an unknown piece reads as.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -73,6 +74,7 @@ class Transducer:
             state[""] = i
             self.beside.update(map("".join, zip(name, name[1:], strict=False)))
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -230,12 +232,12 @@ class Transducer:
         edges = np.flatnonzero(marks)
         coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.older, self.kept = self.kept, {}  # what is still in use comes back from the older ones
         words, ids = coded.dictionary.to_pylist(), []
         for word in words:
             known = self.kept.get(word)
             if known is None:
-                known = np.array(self.encode_normal(word.decode().replace(" ", SPACE)), "<u4").tobytes()
+                known = self.older.get(word) or np.array(self.encode_normal(word.decode().replace(" ", SPACE)), "<u4").tobytes()
                 if len(word) <= 64:
                     self.kept[word] = known
             ids.append(known)
