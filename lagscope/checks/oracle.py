@@ -9,7 +9,6 @@ from __future__ import annotations
 LABELS = "['GROWING_LAG','STALLED_CONSUMER','SINGLE_PARTITION_STALL','THUNDERING_HERD','CATCHUP_IN_PROGRESS']"
 T0 = "TIMESTAMP '2024-01-01'"
 TOPIC = "event_type || '-' || (user_id // 64)"
-DIM = 64
 
 CTES: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -37,12 +36,14 @@ def sql(text: str) -> str:
 
 # ---------------------------------------------------------------- derived tables
 
+CTES["x_span"] = """
+SELECT date_trunc('hour', min(ts))::TIMESTAMP AS t0, datediff('hour', date_trunc('hour', min(ts)), max(ts)) AS last FROM events"""
 CTES["x_hourly"] = f"""
 SELECT {TOPIC} AS topic, (user_id % 8)::INT AS part,
-       (epoch_us(ts) - epoch_us({T0})) // 3600000000 AS h, sum(1 + floor(value * 200))::BIGINT AS m
-FROM events GROUP BY ALL"""
+       (epoch_us(ts) - epoch_us((SELECT t0 FROM x_span))) // 3600000000 AS h, sum(1 + floor(value * 200))::BIGINT AS m
+FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 CTES["x_grid"] = """
-SELECT k.topic, k.part, g.h FROM (SELECT DISTINCT topic, part FROM x_hourly) k, (SELECT unnest(range(720)) AS h) g"""
+SELECT k.topic, k.part, g.h FROM (SELECT DISTINCT topic, part FROM x_hourly) k, (SELECT unnest(range(last + 1)) AS h FROM x_span) g"""
 CTES["x_end"] = """
 SELECT g.topic, g.part, g.h,
        sum(coalesce(m, 0)) OVER (PARTITION BY g.topic, g.part ORDER BY g.h)::BIGINT AS le
@@ -52,9 +53,9 @@ SELECT 'g0' AS group_id, *, h AS e FROM x_end
 UNION ALL SELECT 'g1', *, greatest(h - 3, 0) FROM x_end
 UNION ALL SELECT 'g2', *, CASE WHEN h % 48 >= 36 THEN h - h % 48 + 35 ELSE h END FROM x_end
 UNION ALL SELECT 'g3', *, CASE WHEN part = 0 AND h >= 240 THEN 240 ELSE h - 1 END FROM x_end"""
-CTES["x_snap"] = f"""
+CTES["x_snap"] = """
 SELECT s.group_id, s.topic, s.part, coalesce(c.le, 0)::BIGINT AS co, s.le AS le, s.h, s.e,
-       {T0} + s.e * INTERVAL 1 HOUR AS last_commit_at, {T0} + s.h * INTERVAL 1 HOUR AS snapshotted_at
+       (SELECT t0 FROM x_span) + s.e * INTERVAL 1 HOUR AS last_commit_at, (SELECT t0 FROM x_span) + s.h * INTERVAL 1 HOUR AS snapshotted_at
 FROM x_eff s LEFT JOIN x_end c ON c.topic = s.topic AND c.part = s.part AND c.h = s.e"""
 CTES["x_lag"] = """
 SELECT *, greatest(le - co, 0) AS lag, le - co AS lag_raw, (h - e) > 6 AS is_stalled FROM x_snap"""
@@ -146,7 +147,7 @@ FROM x_cycle WHERE high_groups > 0 OR offline > 0 OR under_replicated > 0"""
 CTES["x_high"] = """
 SELECT s.*, g.score AS group_score FROM x_score s JOIN x_group g
   ON g.snapshotted_at = s.snapshotted_at AND g.group_id = s.group_id AND g.score >= 0.4
-WHERE s.snapshotted_at IN (SELECT snapshotted_at FROM x_act)"""
+WHERE s.total_lag > 0 AND s.snapshotted_at IN (SELECT snapshotted_at FROM x_act)"""
 CTES["x_hits"] = """
 SELECT group_id, cls, topic, h, min(h) OVER (PARTITION BY group_id, cls, topic) AS h0 FROM x_worst"""
 
@@ -161,8 +162,7 @@ SELECT *, inc * n / tot::DOUBLE AS skew FROM x_share WHERE n >= 2 AND tot > 0 AN
 
 CTES["x_conf"] = """
 SELECT snapshot_at, (3 + month(snapshot_at) % 2)::BIGINT AS broker_count, 'topic-' || t AS topic, n AS pc, (1 + n % 3)::INT AS rf
-FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS snapshot_at, o_custkey // 50 AS t, count(*) AS n FROM orders GROUP BY ALL)
-WHERE t % 20 <> month(snapshot_at) % 20 AND t % 20 <> (month(snapshot_at) * year(snapshot_at)) % 20"""
+FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS snapshot_at, o_custkey // 50 AS t, count(*) AS n FROM orders GROUP BY ALL)"""
 CTES["x_pair"] = """
 SELECT *, lag(snapshot_at) OVER (ORDER BY snapshot_at) AS prev_at, lag(broker_count) OVER (ORDER BY snapshot_at) AS prev_brokers
 FROM (SELECT snapshot_at, max(broker_count) AS broker_count, count(*) AS topic_count FROM x_conf GROUP BY snapshot_at)"""
@@ -242,13 +242,13 @@ CTES["x_rb"] = f"""
 SELECT vec_id AS id, 'RB-' || (vec_id // 4) AS runbook_id, 'Runbook ' || (vec_id // 4) AS title, 'section ' || (vec_id % 4) AS section,
        'text ' || vec_id AS content, [({LABELS})[label % 5 + 1], ({LABELS})[(label + vec_id % 2) % 5 + 1]] AS tags, embedding::DOUBLE[] AS e
 FROM embeddings"""
-_MEAN = "[" + ", ".join(f"avg(embedding[{i + 1}]::DOUBLE)" for i in range(DIM)) + "]"
+_ENTRIES = "SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings"
 CTES["x_query"] = f"""
-SELECT 'Q-' || label || '-' || (vec_id % 3) AS query_id, ({LABELS})[label % 5 + 1] AS cls, {_MEAN} AS e
-FROM embeddings GROUP BY label, vec_id % 3"""
+SELECT 'Q-' || label || '-' || kind AS query_id, ({LABELS})[label % 5 + 1] AS cls, list(m ORDER BY pos) AS e
+FROM (SELECT label, vec_id % 3 AS kind, pos, avg(x) AS m FROM ({_ENTRIES}) GROUP BY ALL) GROUP BY label, kind"""
 CTES["x_cquery"] = f"""
-SELECT ({LABELS})[label % 5 + 1] AS query_id, ({LABELS})[label % 5 + 1] AS cls, {_MEAN} AS e
-FROM embeddings GROUP BY label % 5"""
+SELECT ({LABELS})[k + 1] AS query_id, ({LABELS})[k + 1] AS cls, list(m ORDER BY pos) AS e
+FROM (SELECT label % 5 AS k, pos, avg(x) AS m FROM ({_ENTRIES}) GROUP BY ALL) GROUP BY k"""
 COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
 
 
@@ -532,7 +532,8 @@ FROM x_conf GROUP BY snapshot_at"""
 _plain["section_chunks"] = """
 SELECT runbook_id, ('0x' || md5(runbook_id || '_' || no)[1:15])::BIGINT AS id, no::INT AS section_no, title,
   CASE WHEN no = 0 THEN 'overview' ELSE trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS section,
-  substring(CASE WHEN no = 0 THEN p ELSE title || chr(10) || p END, 1, 1200) AS content
+  CASE WHEN no = 0 THEN p ELSE title || chr(10) || p END AS content,
+  substring(CASE WHEN no = 0 THEN p ELSE title || chr(10) || p END, 1, 1200) AS content_prefix
 FROM (SELECT runbook_id, title, unnest(parts) AS p, unnest(range(len(parts))) AS no FROM x_doc)"""
 
 
@@ -546,11 +547,13 @@ SELECT 'doc-' || doc_id AS runbook_id, coalesce(nullif(concat_ws(',', {', '.join
 FROM documents"""
 _plain["incident_chunks"] = """
 SELECT ('0x' || md5(incident_id || '_' || kind)[1:15])::BIGINT AS id, incident_id, kind AS chunk_type, consumer_group, topic, cls AS lag_classification,
-  resolution_type, minutes AS time_to_resolution_minutes, severity, summary, substring(body, 1, 1200) AS content
+  resolution_type, minutes AS time_to_resolution_minutes, severity, summary, body AS content, substring(body, 1, 1200) AS content_prefix
 FROM (SELECT *, 'cluster_state' AS kind, 'Cluster state: ' || state AS body FROM x_incident
       UNION ALL SELECT *, 'symptoms', symptoms FROM x_incident
       UNION ALL SELECT *, 'resolution', 'Resolution: ' || resolution_type || '. ' || notes FROM x_incident) WHERE trim(body) <> ''"""
-_plain["chunk_ids"] = "SELECT doc_id, ('0x' || md5('doc-' || doc_id || '_0')[1:15])::BIGINT AS id FROM documents"
+_plain["chunk_ids"] = """
+SELECT runbook_id, no::INT AS section_no, ('0x' || md5(runbook_id || '_' || no)[1:15])::BIGINT AS id
+FROM (SELECT runbook_id, unnest(range(len(parts))) AS no FROM x_doc)"""
 _plain["incident_coverage"] = """
 SELECT cls AS lag_classification, count(DISTINCT incident_id) AS incidents, string_agg(DISTINCT resolution_type, ',' ORDER BY resolution_type) AS resolution_types,
   min(minutes) AS fastest_minutes, max(minutes) AS slowest_minutes FROM x_incident GROUP BY 1"""

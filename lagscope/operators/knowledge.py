@@ -13,20 +13,20 @@ from ..functions.columns import stable_id, strip
 
 SECTION_DELIMITER = "\n### "
 CONTENT_CHARS = 1200
-EMBED_CHARS = 8000
 
 
 def section_chunks(
     docs: DataFrame,
     delimiter: str = SECTION_DELIMITER,
-    max_chars: int = CONTENT_CHARS,
+    prefix_chars: int = CONTENT_CHARS,
     title: str = "preamble",
 ) -> DataFrame:
     """One row per section of (runbook_id, content).
 
     The text before the first delimiter is the section ``overview``; the others are named by
     their first line and carry the title in front. The title is the whole text before the first
-    delimiter, or with ``title="first_line"`` its first line.
+    delimiter, or with ``title="first_line"`` its first line. ``content`` is whole; a store that
+    keeps the beginning only takes ``content_prefix``.
     """
     kept = [c for c in docs.columns if c != "content"]
     preamble = strip(F.col("sections")[0])
@@ -37,12 +37,11 @@ def section_chunks(
     titled = docs.select(*kept, F.split("content", pattern, -1).alias("sections")).withColumn(
         "title", F.regexp_replace(preamble, "^[# ]+", "")
     )
-    parts = titled.select(*kept, "title", F.posexplode("sections").alias("section_no", "text"))
+    # The outer form adds no filter on the split, which would split every text again.
+    exploded = titled.select(*kept, "title", F.posexplode_outer("sections").alias("section_no", "text"))
+    parts = exploded.filter("section_no is not null")
     later = F.col("section_no") > 0
-    # The title is cut to the limit before it is put in front, so long ones are not copied whole.
-    body = F.when(
-        later, F.concat(F.substring("title", 1, max_chars), F.lit(delimiter), F.col("text"))
-    ).otherwise(F.col("text"))
+    body = F.when(later, F.concat(F.col("title"), F.lit(delimiter), F.col("text"))).otherwise(F.col("text"))
     name = F.when(later, strip(F.substring_index("text", "\n", 1))).otherwise("overview")
     return parts.select(
         *kept,
@@ -50,7 +49,8 @@ def section_chunks(
         "section_no",
         "title",
         name.alias("section"),
-        F.substring(body, 1, max_chars).alias("content"),
+        body.alias("content"),
+        F.substring(body, 1, prefix_chars).alias("content_prefix"),
     )
 
 
@@ -81,12 +81,12 @@ def keyword_tags(
     )
 
 
-def runbook_chunks(docs: DataFrame, max_chars: int = CONTENT_CHARS) -> DataFrame:
+def runbook_chunks(docs: DataFrame, prefix_chars: int = CONTENT_CHARS) -> DataFrame:
     """Sections of tagged runbooks, ready for embedding."""
-    return section_chunks(keyword_tags(docs), max_chars=max_chars)
+    return section_chunks(keyword_tags(docs), prefix_chars=prefix_chars)
 
 
-def incident_chunks(incidents: DataFrame, max_chars: int = CONTENT_CHARS) -> DataFrame:
+def incident_chunks(incidents: DataFrame, prefix_chars: int = CONTENT_CHARS) -> DataFrame:
     """Up to three chunks per incident: cluster state, symptoms, resolution; blank ones are
     left out. The cluster state is JSON text. An incident without an id is named by its hash."""
 
@@ -126,16 +126,12 @@ def incident_chunks(incidents: DataFrame, max_chars: int = CONTENT_CHARS) -> Dat
             F.coalesce("time_to_resolution_minutes", F.lit(0)).alias("time_to_resolution_minutes"),
             text("severity").alias("severity"),
             text("summary").alias("summary"),
-            F.substring("chunk.text", 1, max_chars).alias("content"),
+            F.col("chunk.text").alias("content"),
+            F.substring("chunk.text", 1, prefix_chars).alias("content_prefix"),
         )
     )
 
 
-def embedding_input(content: Column) -> Column:
-    """Text as it is handed to an embedding model."""
-    return F.substring(content, 1, EMBED_CHARS)
-
-
 def incident_coverage(incidents: DataFrame) -> DataFrame:
     """What the incident collection covers, per lag class."""
     return incidents.groupBy("lag_classification").agg(

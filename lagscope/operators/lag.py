@@ -78,17 +78,18 @@ def topics_with_lag(lags: DataFrame) -> DataFrame:
 
 def with_last_commit(snapshots: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """Fill ``last_commit_at`` with the latest time the committed offset was seen to change;
-    null until a change has been seen."""
+    null until a change has been seen. The first commit of a group, from no offset to one, is a
+    change too, so the offset is compared inside a struct, which is never null."""
     marked = runs(
-        snapshots.drop("last_commit_at"),
+        snapshots.drop("last_commit_at").withColumn("_offset", F.struct("committed_offset")),
         SERIES,
         "snapshotted_at",
-        "committed_offset",
+        "_offset",
         cfg.bucket_seconds,
     )
     return marked.withColumn(
         "last_commit_at", F.when(~F.col("run_open"), F.col("run_start"))
-    ).drop("run_start", "run_open")
+    ).drop("run_start", "run_open", "_offset")
 
 
 def stalled_partitions(lags: DataFrame) -> DataFrame:

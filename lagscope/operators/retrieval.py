@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from ..functions.columns import cosine, dot
 
 # Queries up to this many bytes of vectors are sent to every task; more are split into blocks.
-LOCAL_QUERY_BYTES = 64 * 1024 * 1024
+LOCAL_QUERY_BYTES = 16 * 1024 * 1024
 BLOCK_ROWS = 20_000
+# Scores of so many queries and rows at a time, which bounds a task's memory.
+TILE_QUERIES, TILE_ROWS = 512, 4096
 # Scores are compared in units of 1e-9, so that the id decides between copies of a vector and
 # not the order of additions.
 RANK_SCALE = 1e9
@@ -66,16 +68,23 @@ class _Best:
         self.scores = [np.array([]) for _ in self.q_ids]
 
     def add(self, ids, vectors, tags=None) -> None:
-        scores = self.q @ _unit(vectors).T
+        ids, vectors = np.asarray(ids, dtype=object), list(vectors)
+        sets = None if self.q_match is None else [set(t) if t is not None else set() for t in tags]
+        for at in range(0, len(ids), TILE_ROWS):
+            rows = slice(at, at + TILE_ROWS)
+            unit = _unit(vectors[rows]).T
+            has = None if sets is None else {m: np.array([m in s for s in sets[rows]]) for m in set(self.q_match)}
+            for first in range(0, len(self.q), TILE_QUERIES):
+                self._tile(first, self.q[first : first + TILE_QUERIES] @ unit, ids[rows], has)
+
+    def _tile(self, first: int, scores: np.ndarray, ids: np.ndarray, has) -> None:
         ok = scores >= self.threshold
-        if self.q_match is not None:
-            sets = [set(t) if t is not None else set() for t in tags]
-            has = {m: np.array([m in s for s in sets]) for m in set(self.q_match)}
-            ok &= np.stack([has[m] for m in self.q_match])
-        ids = np.asarray(ids, dtype=object)
-        for i in np.flatnonzero(ok.any(axis=1)):
-            s = np.concatenate([self.scores[i], scores[i][ok[i]]])
-            d = np.concatenate([self.ids[i], ids[ok[i]]])
+        if has is not None:
+            ok &= np.stack([has[m] for m in self.q_match[first : first + len(scores)]])
+        for j in np.flatnonzero(ok.any(axis=1)):
+            i = first + j
+            s = np.concatenate([self.scores[i], scores[j][ok[j]]])
+            d = np.concatenate([self.ids[i], ids[ok[j]]])
             keep = self._first(np.rint(s * RANK_SCALE), d)
             self.scores[i], self.ids[i] = s[keep], d[keep]
 
@@ -115,7 +124,7 @@ def vector_topk(
     column and an array column of the corpus that must contain its value. Few queries travel to
     the corpus, which then is not shuffled; when they are more than ``local_query_bytes``, both
     sides are cut into blocks and every pair of blocks becomes one task. Both ways are exact.
-    Vectors of another length than the queries' cannot be compared and are not found.
+    A query is compared with the vectors of its own length; there may be several lengths.
     """
     q_cols = ["query_id", "embedding"] + ([F.col(match[0]).alias("_match")] if match else [])
     c_cols = ["id", "embedding"] + ([F.col(match[1]).alias("_tags")] if match else [])
@@ -130,16 +139,9 @@ def vector_topk(
         ]
     )
 
-    first = q.select(F.size("embedding").alias("n")).first()
-    if first is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(0))
-    dims = first.n
-    q = q.filter(F.size("embedding") == dims)
-    c = c.filter(F.size("embedding") == dims)
-    most = max(1, local_query_bytes // (8 * dims))
-    local = q.limit(most + 1).toPandas()
-    if len(local) <= most:
-        best = _search_local(local, c, k, threshold, bool(match), schema)
+    size = q.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+    if size <= local_query_bytes:
+        best = _search_local(q.toPandas(), c, k, threshold, bool(match), schema)
     else:
         best = _search_blocks(q, c, k, threshold, bool(match), schema, block_rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "id")
@@ -147,15 +149,19 @@ def vector_topk(
 
 
 def _search_local(local, corpus, k, threshold, matched, schema) -> DataFrame:
-    ids, vectors = local["query_id"].tolist(), np.stack(local["embedding"].tolist())
-    tags = local["_match"].tolist() if matched else None
+    by_length = {
+        n: (part["query_id"].tolist(), np.stack(part["embedding"].tolist()), part["_match"].tolist() if matched else None)
+        for n, part in local.groupby(local["embedding"].map(len))
+    }
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(ids, vectors, tags, k, threshold)
+        best = {n: _Best(*queries, k, threshold) for n, queries in by_length.items()}
         for pdf in batches:
-            if len(pdf):
-                best.add(pdf["id"], pdf["embedding"], pdf["_tags"] if matched else None)
-        yield best.frame()
+            for n, part in pdf.groupby(pdf["embedding"].map(len)):
+                if n in best:
+                    best[n].add(part["id"], part["embedding"], part["_tags"] if matched else None)
+        for found in best.values():
+            yield found.frame()
 
     return corpus.mapInPandas(search, schema)
 
@@ -169,12 +175,20 @@ def _search_blocks(q, c, k, threshold, matched, schema, block_rows) -> DataFrame
             other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
         )
 
-    left = spread(q, "query_id", "_qb", q_blocks, "_cb", c_blocks).groupBy("_qb", "_cb")
-    right = spread(c, "id", "_cb", c_blocks, "_qb", q_blocks).groupBy("_qb", "_cb")
+    n = F.size("embedding")
+    left = spread(q.withColumn("_n", n), "query_id", "_qb", q_blocks, "_cb", c_blocks).groupBy("_n", "_qb", "_cb")
+    right = spread(c.withColumn("_n", n), "id", "_cb", c_blocks, "_qb", q_blocks).groupBy("_n", "_qb", "_cb")
 
     def search(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
-            return pd.DataFrame({"query_id": [], "id": [], "score": [], "rank_score": []})
+            return pd.DataFrame(
+                {
+                    "query_id": qs["query_id"].iloc[:0],
+                    "id": cs["id"].iloc[:0],
+                    "score": np.array([], dtype="float64"),
+                    "rank_score": np.array([], dtype="int64"),
+                }
+            )
         best = _Best(
             qs["query_id"], qs["embedding"], qs["_match"].tolist() if matched else None, k, threshold
         )
@@ -196,7 +210,10 @@ def similar_incidents(
         "query_id", "id", "score", "rank_score"
     )
     payload = [c for c in chunks.columns if c != "embedding"]
-    found = hits.join(chunks.select(*payload), "id")
+    # A chunk without an incident stands for itself.
+    found = hits.join(chunks.select(*payload), "id").withColumn(
+        "incident_id", F.coalesce("incident_id", F.col("id").cast("string"))
+    )
     by_score = [F.desc("rank_score"), F.col("id")]
     best = (
         found.withColumn(

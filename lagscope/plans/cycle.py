@@ -72,7 +72,8 @@ def lag_cycle(
     high = lag.high_severity_groups(groups, cfg).select(
         "snapshotted_at", "group_id", F.col("severity_score").alias("group_score")
     )
-    topics = scored.join(high, ["snapshotted_at", "group_id"]).join(
+    # Topics without lag count in the roll-up and the velocity, but are not analysed.
+    topics = scored.filter("total_lag > 0").join(high, ["snapshotted_at", "group_id"]).join(
         actionable.select("snapshotted_at"), "snapshotted_at", "left_semi"
     )
     recs = store(

@@ -516,9 +516,13 @@ def config_snapshot_ids(i):
 # ---------------------------------------------------------------- knowledge
 
 
+def _sections(i):
+    return knowledge.section_chunks(D.runbook_docs(i.table("documents")), delimiter="\n")
+
+
 @query
 def section_chunks(i):
-    return knowledge.section_chunks(D.runbook_docs(i.table("documents")), delimiter="\n")
+    return _sections(i)
 
 
 @query
@@ -534,9 +538,7 @@ def incident_chunks(i):
 
 @query
 def chunk_ids(i):
-    return i.table("documents").select(
-        "doc_id", stable_id(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("_0"))).alias("id")
-    )
+    return _sections(i).select("runbook_id", "section_no", "id")
 
 
 @query

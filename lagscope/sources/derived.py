@@ -6,12 +6,11 @@ partitions and topics, and so on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 HOUR_US = 3_600_000_000
-HOURS = 720
 USERS_PER_TOPIC = 64
 
 
@@ -25,7 +24,9 @@ def hour_time(h) -> F.Column:
 
 
 def _hour_of(ts: str) -> F.Column:
-    return F.expr(f"(unix_micros(cast(`{ts}` as timestamp)) - {EPOCH_US}) div {HOUR_US}")
+    """Hour index, also of times before hour 0."""
+    us = F.expr(f"unix_micros(cast(`{ts}` as timestamp)) - {EPOCH_US}")
+    return F.floor((us - F.pmod(us, F.lit(HOUR_US))) / HOUR_US).cast("bigint")
 
 
 def topic_of_event(users_per_topic: int | None = USERS_PER_TOPIC) -> F.Column:
@@ -35,10 +36,9 @@ def topic_of_event(users_per_topic: int | None = USERS_PER_TOPIC) -> F.Column:
     return F.concat_ws("-", "event_type", F.expr(f"user_id div {users_per_topic}"))
 
 
-def lag_snapshots(
-    events: DataFrame, users_per_topic: int | None = USERS_PER_TOPIC, hours: int = HOURS
-) -> DataFrame:
-    """Hourly offset snapshots of four consumer groups with known behaviour.
+def lag_snapshots(events: DataFrame, users_per_topic: int | None = USERS_PER_TOPIC) -> DataFrame:
+    """Hourly offset snapshots of four consumer groups with known behaviour, from the first hour
+    with an event to the last.
 
     g0 keeps up; g1 is three hours late; g2 stops for the last 12 of every 48 hours; g3 is an
     hour late and has partition 0 stuck from hour 240 on. Every (topic, partition) is cheap to
@@ -51,10 +51,13 @@ def lag_snapshots(
             _hour_of("ts").alias("h"),
             (1 + F.floor(F.col("value") * 200)).cast("bigint").alias("m"),
         )
-        .filter(f"h >= 0 and h < {hours}")
+        .filter("h is not null")
         .groupBy("topic", "partition", "h")
         .agg(F.sum("m").alias("m"))
     )
+    # One row, known before the others are laid out.
+    span = events.select(_hour_of("ts").alias("h")).agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    hourly = hourly.crossJoin(F.broadcast(span))
     # Few small rows become many below, so adaptive execution must not merge these partitions.
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("topic", "partition")
@@ -70,36 +73,40 @@ def lag_snapshots(
         "h",
         "m",
         "total",
+        "lo",
         F.explode(
             F.sequence(
-                F.when(F.col("first_row"), F.lit(0).cast("bigint")).otherwise(F.col("h")),
-                F.coalesce("next_h", F.lit(hours).cast("bigint")) - 1,
+                F.when(F.col("first_row"), F.col("lo")).otherwise(F.col("h")),
+                F.coalesce("next_h", F.col("hi") + 1) - 1,
             )
         ).alias("k"),
     ).select(
         "topic",
         "partition",
         "k",
+        "lo",
         F.when(F.col("k") >= F.col("h"), F.col("total"))
         .otherwise(F.col("total") - F.col("m"))
         .alias("log_end"),
     )
     order = w.orderBy("k")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    k, end = F.col("k"), F.col("log_end")
-    stuck = (F.col("partition") == 0) & (k >= 240)
+    k, lo, end = F.col("k"), F.col("lo"), F.col("log_end")
+    hour = k - lo
+    stuck = (F.col("partition") == 0) & (hour >= 240)
     ends = filled.select(
         "topic",
         "partition",
         "k",
+        "lo",
         "log_end",
         F.coalesce(F.lag("log_end", 3).over(order), F.first("log_end").over(order)).alias("c1"),
-        F.max(F.when(k % 48 < 36, end)).over(so_far).alias("c2"),
-        F.when(stuck, F.max(F.when(k <= 240, end)).over(so_far))
+        F.max(F.when(hour % 48 < 36, end)).over(so_far).alias("c2"),
+        F.when(stuck, F.max(F.when(hour <= 240, end)).over(so_far))
         .otherwise(F.coalesce(F.lag("log_end", 1).over(order), F.lit(0)))
         .alias("c3"),
     )
-    stop = F.when(k % 48 >= 36, k - k % 48 + 35).otherwise(k)
+    stop = F.when(hour % 48 >= 36, k - hour % 48 + 35).otherwise(k)
 
     def group(name: str, committed: F.Column, commit_hour: F.Column) -> F.Column:
         return F.struct(
@@ -116,9 +123,9 @@ def lag_snapshots(
         F.explode(
             F.array(
                 group("g0", end, k),
-                group("g1", F.col("c1"), F.greatest(k - 3, F.lit(0))),
+                group("g1", F.col("c1"), F.greatest(k - 3, lo)),
                 group("g2", F.col("c2"), stop),
-                group("g3", F.col("c3"), F.when(stuck, 240).otherwise(k - 1)),
+                group("g3", F.col("c3"), F.when(stuck, lo + 240).otherwise(k - 1)),
             )
         ).alias("g"),
     ).select(
@@ -210,18 +217,16 @@ def brokers(supplier: DataFrame, scans: int = 30) -> DataFrame:
 
 
 def config_snapshots(orders: DataFrame) -> DataFrame:
-    """A configuration snapshot per month; topics follow customers and come and go."""
+    """A configuration snapshot per month; a topic is there in the months in which its
+    customers order."""
     at = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
     topic_no = F.expr("o_custkey div 50")
     rows = orders.select(at.alias("snapshot_at"), topic_no.alias("t")).groupBy("snapshot_at", "t").agg(
         F.count(F.lit(1)).alias("n")
     )
-    m, y = F.month("snapshot_at"), F.year("snapshot_at")
-    return rows.filter(
-        (F.col("t") % 20 != m % 20) & (F.col("t") % 20 != (m * y) % 20)
-    ).select(
+    return rows.select(
         "snapshot_at",
-        (3 + m % 2).cast("bigint").alias("broker_count"),
+        (3 + F.month("snapshot_at") % 2).cast("bigint").alias("broker_count"),
         F.concat(F.lit("topic-"), F.col("t").cast("string")).alias("topic"),
         F.col("n").alias("partition_count"),
         (1 + F.col("n") % 3).cast("int").alias("replication_factor"),
@@ -410,20 +415,21 @@ def runbook_vectors(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def query_vectors(embeddings: DataFrame, dimensions: int = 64) -> DataFrame:
-    """One query per (label, chunk type): the mean of its vectors.
+def _means(vectors: DataFrame, *keys: Column) -> DataFrame:
+    """Mean vector of each group: of every position over the vectors that have it."""
+    names = [f"k{i}" for i in range(len(keys))]
+    entries = vectors.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.posexplode("embedding").alias("pos", "x"))
+    means = entries.groupBy(*names, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    whole = means.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("entries"))
+    return whole.select(*names, F.col("entries.mean").alias("embedding"))
 
-    The means are plain averages per dimension, so they are combined before the shuffle.
-    """
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dimensions)]
-    return (
-        embeddings.groupBy("label", (F.col("vec_id") % 3).alias("kind"))
-        .agg(*means)
-        .select(
-            F.format_string("Q-%d-%d", F.col("label").cast("bigint"), F.col("kind")).alias("query_id"),
-            _nth(LABEL_CLASSES, F.col("label")).alias("lag_classification"),
-            F.array(*[F.col(f"m{i}") for i in range(dimensions)]).alias("embedding"),
-        )
+
+def query_vectors(embeddings: DataFrame) -> DataFrame:
+    """One query per (label, chunk type): the mean of its vectors."""
+    return _means(embeddings, F.col("label"), F.col("vec_id") % 3).select(
+        F.format_string("Q-%d-%d", F.col("k0").cast("bigint"), F.col("k1")).alias("query_id"),
+        _nth(LABEL_CLASSES, F.col("k0")).alias("lag_classification"),
+        "embedding",
     )
 
 
@@ -453,18 +459,10 @@ def runbook_docs(documents: DataFrame) -> DataFrame:
     )
 
 
-def class_query_vectors(embeddings: DataFrame, dimensions: int = 64) -> DataFrame:
+def class_query_vectors(embeddings: DataFrame) -> DataFrame:
     """One query per lag class: the mean of the vectors with its labels."""
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dimensions)]
-    cls = _nth(LABEL_CLASSES, F.col("label"))
-    return (
-        embeddings.groupBy(cls.alias("query_id"))
-        .agg(*means)
-        .select(
-            "query_id",
-            F.col("query_id").alias("lag_classification"),
-            F.array(*[F.col(f"m{i}") for i in range(dimensions)]).alias("embedding"),
-        )
+    return _means(embeddings, _nth(LABEL_CLASSES, F.col("label"))).select(
+        F.col("k0").alias("query_id"), F.col("k0").alias("lag_classification"), "embedding"
     )
 
 

@@ -28,10 +28,11 @@ def test_sections(spark):
     assert first.title == "Title here"
 
 
-def test_sections_are_cut(spark):
+def test_sections_are_whole_and_have_a_prefix(spark):
     docs = spark.createDataFrame([("rb", "x" * 2000 + "\n### s\n" + "y" * 10)], "runbook_id string, content string")
     got = knowledge.section_chunks(docs).orderBy("section_no").collect()
-    assert [len(r.content) for r in got] == [1200, 1200] and len(got[1].title) == 2000
+    assert [len(r.content_prefix) for r in got] == [1200, 1200] and len(got[1].title) == 2000
+    assert got[0].content == "x" * 2000 and got[1].content == "x" * 2000 + "\n### s\n" + "y" * 10
 
 
 def test_tags(spark):
@@ -157,3 +158,42 @@ def test_hashed_search_finds_near_vectors(spark):
     exact, near = found(retrieval.vector_topk(q, c, 10, 0.8)), found(retrieval.vector_topk_lsh(q, c, 10, 0.8))
     hits = sum(len(set(exact[k]) & set(near.get(k, []))) for k in exact)
     assert hits >= 0.9 * sum(len(v) for v in exact.values())
+
+
+def test_vectors_of_several_lengths(spark):
+    queries = spark.createDataFrame([("q2", [1.0, 0.0]), ("q3", [0.0, 1.0, 0.0]), ("q5", [1.0] * 5)], "query_id string, embedding array<double>")
+    corpus = spark.createDataFrame([(1, [2.0, 0.1]), (2, [0.0, 3.0, 0.1]), (3, [0.1, 0.2, 9.0])], "id long, embedding array<double>")
+    for limit in (1 << 20, 1):  # queries sent to the corpus, and blocks of both
+        got = retrieval.vector_topk(queries, corpus, 3, 0.5, local_query_bytes=limit)
+        assert sorted((r.query_id, r.id) for r in got.collect()) == [("q2", 1), ("q3", 2)]
+
+
+def test_many_queries_are_scored_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    q, c = rng.normal(size=(40, 128)), rng.normal(size=(90, 128))
+    best = retrieval._Best(range(40), list(q), None, 4, -1.0)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 11)
+    best.add(range(90), list(c))
+    cosine = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    for i in range(40):
+        assert set(best.ids[i]) == set(np.argsort(-cosine[i])[:4])
+
+
+def test_chunk_without_incident_stands_for_itself(spark):
+    payload = "incident_id string, lag_classification string, consumer_group string, topic string, resolution_type string, time_to_resolution_minutes int, summary string"
+    rows = [(7, [1.0, 0.0], None, None, None, None, None, None, None), (8, [1.0, 0.1], None, None, None, None, None, None, None)]
+    chunks = spark.createDataFrame(rows, f"id long, embedding array<double>, {payload}")
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    got = retrieval.similar_incidents(queries, chunks).collect()
+    assert [(r.position, r.incident_id) for r in got] == [(1, "7"), (2, "8")]
+
+
+def test_mean_vectors_of_any_length(spark):
+    from lagscope.sources.derived import class_query_vectors
+
+    rows = [(0, 0, [1.0] * 130), (1, 0, [3.0] * 130), (2, 0, [5.0])]
+    (got,) = class_query_vectors(spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>")).collect()
+    assert got.embedding == [3.0] + [2.0] * 129

@@ -247,3 +247,25 @@ def test_simultaneous_and_acceleration(spark):
     assert trend[("g1", naive(0))] == "UNKNOWN"
     assert trend[("g1", naive(4))] == "ACCELERATING"
     assert trend[("g1", naive(6))] == "DECELERATING"
+
+
+def test_first_commit_of_a_group_is_a_change(spark):
+    rows = [(f"2024-01-01 0{h}:00:00", "g", "t", 0, None if h < 2 else 5, 10) for h in range(6)]
+    df = spark.createDataFrame(rows, "at string, group_id string, topic string, partition int, committed_offset long, log_end_offset long")
+    got = lag.with_last_commit(df.withColumn("snapshotted_at", F.col("at").cast("timestamp")).drop("at")).orderBy("snapshotted_at").collect()
+    assert [None if r.last_commit_at is None else r.last_commit_at.hour for r in got] == [None, None, 2, 2, 2, 2]
+    assert "_offset" not in got[0].asDict()
+
+
+def test_snapshots_cover_all_hours_of_the_events(spark):
+    from lagscope.sources.derived import lag_snapshots
+
+    rows = [(1, 1, "view", "2023-12-30 05:10:00", 0.5), (2, 1, "view", "2024-02-03 07:59:59", 0.5), (3, 2, "view", "2024-01-15 00:00:00", 0.5)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, at string, value double").withColumn("ts", F.col("at").cast("timestamp"))
+    got = lag_snapshots(events)
+    first, last = got.agg(F.min("snapshotted_at").cast("string"), F.max("snapshotted_at").cast("string")).first()
+    assert (first, last) == ("2023-12-30 05:00:00", "2024-02-03 07:00:00")
+    hours = 35 * 24 + 3
+    assert got.count() == hours * 4 * 2
+    end = got.filter("topic = 'view-0' and partition = 1 and group_id = 'g0'").agg(F.max("log_end_offset")).first()[0]
+    assert end == 2 * 101
