@@ -35,7 +35,7 @@ from lagscope.llm.arrays import gather, small_batches, text_bytes
 
 SPACE = "▁"
 # Entries kept by a Python process, which serves tasks of other operators as well.
-KEPT = 120_000
+KEPT = 100_000
 PAIRS = 300_000
 
 # Kinds of pieces in a model file, and what an unknown piece reads as.
@@ -76,7 +76,7 @@ class Transducer:
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int | None]]:
         """Arcs of the lattice from a place: (next place, piece), longest first; None: byte fallback."""
@@ -106,14 +106,16 @@ class Transducer:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def follows(self, last: str, new: str) -> bool:
-        """Whether the pair's arc weighs zero. ``last`` is empty at the start."""
-        key = (last, new)
+    def follows(self, last: int | None, new: int | None, before: str, after: str) -> bool:
+        """Whether the pair's arc weighs zero, given as pieces and as texts. ``before`` is empty at the start."""
+        if new is None or (before and last is None):
+            return self.merged(before + after) == ([before, after] if before else [after])
+        key = (last + 1 if before else 0) << 32 | new
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(last + new) == ([last, new] if last else [new])
+            known = self.pairs[key] = self.merged(before + after) == ([before, after] if before else [after])
         return known
 
     def output(self, text: str, piece: int | None) -> list[int]:
@@ -131,9 +133,10 @@ class Transducer:
         waiting = [iter(self.arcs(text, 0))]
         at = 0
         while at < len(text):
-            last = text[path[-1][0] : path[-1][1]] if path else ""
+            begin, end, last = path[-1] if path else (0, 0, None)
+            before = text[begin:end]
             for to, piece in waiting[-1]:
-                if (at, to) not in dead and self.follows(last, text[at:to]):
+                if (at, to) not in dead and self.follows(last, piece, before, text[at:to]):
                     path.append((at, to, piece))
                     waiting.append(iter(self.arcs(text, to)))
                     at = to
