@@ -35,12 +35,16 @@ from lagscope.session import store, working_dir
 
 END = 2
 SHARD_TOKENS = 1 << 20
-KEPT = 500_000
+KEPT = 300_000
 
 _INNER = re.compile(rb"[\s\x1c-\x1f\xc2\xe1-\xe3]")
 _MARKS = frozenset(b",.!?;:")
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
+_LEADS = np.zeros(256, bool)  # first bytes of blank characters of more than one byte
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SECONDS = np.zeros(256, bool)  # their second bytes
+_SECONDS[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
 
 
 class Encoder:
@@ -56,6 +60,7 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, parts: set[bytes], special: bool) -> dict[bytes, bytes]:
         """Ids of single parts. Plain words are encoded as one text and told apart by tokens that begin with a space."""
@@ -77,16 +82,18 @@ class Encoder:
     def _of(self, parts: list[bytes], special: bool) -> list[bytes]:
         """Ids of distinct parts, by those kept and the tokenizer."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.older, self.kept = self.kept, {}  # what is still in use comes back from the older ones
         kept = self.kept
         out = list(map(kept.get, parts))
         new = [p for p, x in zip(parts, out, strict=True) if x is None]
         if not new:
             return out
+        found = {p: x for p in new if (x := self.older.get(p)) is not None}
         # A mark after a letter is a token of its own, so the word before it may be known.
-        stems = {p: p[:-1] for p in new if p[-1] in _MARKS and len(p) > 2 and p.decode()[-2].isalpha() and not (special and any(a in p for a in self.added))}
-        need = {stems.get(p, p) for p in new} | {p[-1:] for p in stems}
-        found = self._encode({p for p in need if p not in kept}, special)
+        stems = {p: p[:-1] for p in new if p[-1] in _MARKS and p not in found and len(p) > 2 and (p[-2] < 128 and p[-2:-1].isalpha() or p[-2] > 127 and p.decode()[-2].isalpha()) and not (special and any(a in p for a in self.added))}
+        need = {stems.get(p, p) for p in new if p not in found}
+        need.update(p[-1:] for p in stems)
+        found |= self._encode({p for p in need if p not in kept and p not in found}, special)
         get = lambda p: found[p] if p in found else kept[p]
         found |= {p: get(q) + get(p[-1:]) for p, q in stems.items()}
         kept.update((p, x) for p, x in found.items() if len(p) <= 64)
@@ -98,17 +105,14 @@ class Encoder:
         docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
-        # Blank characters of more than one byte, and others that begin alike: no cut beside them.
-        two = np.concatenate((data[1:], [0]))
-        begins = _BLANK[data] | ((data == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((data == 0xE1) & (two == 0x9A)) | ((data == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((data == 0xE3) & (two == 0x80))
-        ends = _BLANK[data]
-        multi = np.flatnonzero(begins & ~ends)
-        ends = ends.copy()
-        last = multi + 1 + (data[multi] != 0xC2)
-        ends[last[last < len(data)]] = True
         cut = np.flatnonzero(data == 32)
         cut = cut[(cut > 0) & (cut < len(data) - 1)]
-        cut = cut[~ends[cut - 1] & ~begins[cut + 1]]
+        after, before = data[cut + 1], data[cut - 1]
+        sure = ~_BLANK[before] & ~_BLANK[after]
+        # Blank characters of more than one byte, and others that begin or end alike: no cut beside them.
+        sure &= ~(_LEADS[after] & _SECONDS[data[np.minimum(cut + 2, len(data) - 1)]])
+        sure &= ~(_SECONDS[before] & (_LEADS[data[np.maximum(cut - 2, 0)]] & (data[np.maximum(cut - 2, 0)] == 0xC2))) & ~(_LEADS[data[np.maximum(cut - 3, 0)]] & _SECONDS[data[np.maximum(cut - 2, 0)]] & (before >= 0x80))
+        cut = cut[sure]
         special = any(a in data.tobytes() for a in self.added)
         if special:
             whole = np.array([any(a in data[x:y].tobytes() for a in self.added) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
@@ -145,7 +149,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, s
             name = write_new(folder, ".wm", content)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [name], "n_tokens": pa.array([size], pa.int64())})
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 8 << 20):
             coded, n = encoder.encode(batch.column(1))
             held.append(np.insert(coded, np.cumsum(n), end))
             counts.append(n + 1)
