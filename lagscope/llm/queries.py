@@ -25,7 +25,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Hand texts to Python tasks in batches of this size: texts can be long, and tasks small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -402,7 +402,13 @@ class Plan:
             at = at[later | spoken]
             np.add.at(change, at, 1)
             np.subtract.at(change, at + LENGTH, 1)
-        return chunk, np.cumsum(change[:-1]) > 0
+        return chunk, np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def _before(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many marks there are before each place."""
+    sums = np.cumsum(marks, dtype=np.int32)
+    return np.where(at > 0, sums[np.maximum(at - 1, 0)] if len(sums) else 0, 0).astype(np.int64)
 
 
 def _pack_documents(batches: Iterable[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -475,7 +481,7 @@ def _marked(docs: DataFrame, text_out: bool, chunk_bytes: int, hot: int, hot_sha
                 begins[1:] &= ~gone[:-1]
                 heads = chunk.offsets[:-1][chunk.offsets[:-1] < len(gone)]
                 begins[heads] = gone[heads]
-                removed, spans = (np.concatenate(([0], np.cumsum(m)))[chunk.offsets] for m in (gone, begins))
+                removed, spans = (_before(m, chunk.offsets) for m in (gone, begins))
                 out: list = []
                 for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
                     left = chunk.data[a:b][~gone[a:b]].tobytes()
