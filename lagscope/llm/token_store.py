@@ -59,6 +59,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
+        self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, "<u4").tobytes() for m in _MARKS}
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -83,21 +84,37 @@ class Encoder:
         """Ids of distinct parts, by those kept and the tokenizer."""
         if len(self.kept) > KEPT:
             self.older, self.kept = self.kept, {}  # what is still in use comes back from the older ones
-        kept = self.kept
-        out = list(map(kept.get, parts))
-        new = [p for p, x in zip(parts, out, strict=True) if x is None]
-        if not new:
-            return out
-        found = {p: x for p in new if (x := self.older.get(p)) is not None}
-        # A mark after a letter is a token of its own, so the word before it may be known.
-        stems = {p: p[:-1] for p in new if p[-1] in _MARKS and p not in found and len(p) > 2 and (p[-2] < 128 and p[-2:-1].isalpha() or p[-2] > 127 and p.decode()[-2].isalpha()) and not (special and any(a in p for a in self.added))}
-        need = {stems.get(p, p) for p in new if p not in found}
-        need.update(p[-1:] for p in stems)
-        found |= self._encode({p for p in need if p not in kept and p not in found}, special)
-        get = lambda p: found[p] if p in found else kept[p]
-        found |= {p: get(q) + get(p[-1:]) for p, q in stems.items()}
-        kept.update((p, x) for p, x in found.items() if len(p) <= 64)
-        return [found[p] if x is None else x for p, x in zip(parts, out, strict=True)]
+        kept, know, knew, marks = self.kept, self.kept.get, self.older.get, self.marks
+        out: list = []
+        waiting: list[tuple[int, bytes, bytes]] = []
+        for p in parts:
+            ids = know(p)
+            if ids is None:
+                ids = knew(p)
+                if ids is None:
+                    stem = p
+                    # A mark after a letter is a token of its own, so the word before it may be known.
+                    if p[-1] in marks and len(p) > 2 and (p[-2] < 128 and p[-2:-1].isalpha() or p[-2] > 127 and p.decode()[-2].isalpha()):
+                        stem = p[:-1]
+                        ids = know(stem) or knew(stem)
+                    if special and any(a in p for a in self.added):
+                        ids, stem = None, p
+                    if ids is None:
+                        waiting.append((len(out), p, stem))
+                        out.append(None)
+                        continue
+                    ids += marks[p[-1]]
+                if len(p) <= 64:
+                    kept[p] = ids
+            out.append(ids)
+        if waiting:
+            found = self._encode({stem for _, _, stem in waiting}, special)
+            for at, p, stem in waiting:
+                ids = out[at] = found[stem] if p is stem else found[stem] + marks[p[-1]]
+                if len(p) <= 64:
+                    kept[p] = ids
+                    kept[stem] = found[stem]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
