@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..config import ANALYSIS_TOPIC, RECOMMENDATION_TOPIC
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append offset snapshots, one folder per day, sorted so that readers can skip."""
+def append_snapshots(snapshots: DataFrame, path: str, files_per_day: int = 8) -> None:
+    """Append offset snapshots, one folder per day, sorted so that readers can skip. Rows of a
+    day go to at most ``files_per_day`` tasks, by group and topic."""
+    part = F.pmod(F.xxhash64("group_id", "topic"), F.lit(files_per_day))
     (
         snapshots.withColumn("snapshot_date", F.to_date("snapshotted_at"))
+        .repartition("snapshot_date", part)
         .sortWithinPartitions("snapshot_date", "group_id", "topic", "snapshotted_at")
         .write.mode("append")
         .partitionBy("snapshot_date")
@@ -74,3 +77,14 @@ def publish_routes(events: DataFrame, key: str = "analysis_id", recommendations:
         F.col(key).cast("string").alias("key"),
         F.to_json(F.struct(*events.columns)).alias("value"),
     )
+
+
+def with_reference_ids(events: DataFrame) -> DataFrame:
+    """Add the ids of the incidents and runbooks that each event refers to, where it has them."""
+    for source, field, name in (
+        ("similar_incidents", "incident_id", "similar_incident_ids"),
+        ("runbook_references", "runbook_id", "runbook_reference_ids"),
+    ):
+        if source in events.columns:
+            events = events.withColumn(name, F.col(f"{source}.{field}"))
+    return events

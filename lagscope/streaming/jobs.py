@@ -150,27 +150,36 @@ def start_analysis_sinks(
     """Write each batch of analysis events to three tables and the published messages.
 
     A batch that is run again after a failure overwrites its own folder, so every table gets it
-    once. Events stored by an earlier batch are left out by their id.
+    once. Events that come twice, in one batch or in several, are stored once by their id. The
+    stored analyses also have the ids of the incidents and runbooks they refer to; there is one
+    audit row for each analysis, with the recommendations of all its parts.
     """
+    fields = events.schema["recommendations"].dataType.elementType.names
+    keys = [k for k in ("analysis_id", "part") if k in events.columns]
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            new, stored = batch, _earlier(spark, analyses, number)
-            if stored is not None:
+            stored = _earlier(spark, analyses, number)
+            if stored is None:
+                stored = batch.limit(0)
+            else:
                 # An id stands for one point in time, so older files cannot hold it.
                 start = batch.agg(F.min("analyzed_at")).first()[0]
                 stored = stored.filter(F.col("analyzed_at") >= F.lit(start))
-                new = sinks.insert_ignore(batch, stored, ["analysis_id", "part"], ["analyzed_at"])
-            _write(new, analyses, number)
+            new = sinks.insert_ignore(batch, stored, keys, ["analyzed_at"])
+            _write(sinks.with_reference_ids(new), analyses, number)
             mine = spark.read.parquet(f"{analyses}/batch={number}")
+            listed = mine.select("analysis_id", F.col("analyzed_at").alias("created_at"), F.posexplode("recommendations").alias("_place", "r"))
+            place = [] if "ordinal" in fields else [F.col("_place").alias("ordinal")]
             _write(
-                mine.select("analysis_id", F.posexplode("recommendations").alias("ordinal", "r")).select(
-                    "analysis_id", "ordinal", "r.*", F.lit(False).alias("applied")
-                ),
+                listed.select("analysis_id", *place, "r.*", F.lit(False).alias("applied"), "created_at"),
                 recommendations, number,
             )
-            counted = mine.withColumn("recommendation_count", F.size("recommendations"))
+            counted = mine.groupBy("analysis_id", "severity", "analyzed_at").agg(
+                F.sum(F.size("recommendations")).alias("recommendation_count")
+            )
             _write(
                 sinks.audit_rows(
                     counted, "LAG_ANALYSIS_COMPLETED",
@@ -178,7 +187,7 @@ def start_analysis_sinks(
                 ),
                 audit, number,
             )
-            _write(sinks.publish_routes(mine), routes, number)
+            _write(sinks.publish_routes(mine.select(*events.columns)), routes, number)
         finally:
             batch.unpersist()
 
@@ -199,19 +208,36 @@ def _earlier(spark, path: str, number: int) -> DataFrame | None:
     return table.filter(F.col("batch") < number)
 
 
-def start_config_changes(snapshots: DataFrame, stored: str, changes: str, checkpoint: str) -> DataStreamWriter:
-    """Compare each new configuration snapshot with the newest stored one and write the topics
-    that changed. The stored snapshots survive a restart."""
+def start_config_changes(
+    snapshots: DataFrame, stored: str, changes: str, checkpoint: str, delay: str = "1 hour", brokers: str | None = None
+) -> DataStreamWriter:
+    """Compare configuration snapshots with the ones before them and write what changed.
+
+    A snapshot may come in several files and batches, and snapshots may come out of order within
+    ``delay``: rows are stored as they come, and a snapshot is compared once rows that are more
+    than ``delay`` later have come, so it is whole. Topic changes go to ``changes`` and, if given,
+    changes of the broker count to ``brokers``. The last snapshot stays open until a later one
+    comes. What is stored survives a restart.
+    """
+    late = F.expr(f"interval {delay}")
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = _earlier(spark, stored, number)
-        both = batch
-        if earlier is not None:
-            newest = earlier.agg(F.max("snapshot_at").alias("snapshot_at"))
-            last = earlier.drop("batch").join(F.broadcast(newest), "snapshot_at", "left_semi")
-            both = batch.unionByName(last)
-        _write(config_history.config_delta_topics(both), changes, number)
         _write(batch, stored, number)
+        table = spark.read.parquet(stored).filter(F.col("batch") <= number)
+        # Two points in time; a batch that is run again finds the same ones.
+        before, now = (
+            f.agg(F.max("snapshot_at") - late).first()[0] for f in (table.filter(F.col("batch") < number), table)
+        )
+        closed = table.drop("batch").distinct()
+        closed = closed.filter(F.col("snapshot_at") < F.lit(now)) if now is not None else closed.limit(0)
+        if before is not None:
+            # The last snapshot compared earlier is what the first new one follows.
+            last = closed.filter(F.col("snapshot_at") < F.lit(before)).agg(F.max("snapshot_at").alias("_last"))
+            closed = closed.crossJoin(F.broadcast(last)).filter("_last is null or snapshot_at >= _last").drop("_last")
+        _write(config_history.config_delta_topics(closed), changes, number)
+        if brokers:
+            _write(config_history.config_delta_brokers(closed), brokers, number)
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

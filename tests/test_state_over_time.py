@@ -151,29 +151,41 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert jobs.late_rows(q) == 1
 
 
-def test_config_changes_survive_a_restart(spark, tmp_path):
+def test_config_changes_wait_for_whole_snapshots(spark, tmp_path):
     from lagscope import schemas
 
     def add(n, data):
-        df = spark.createDataFrame([(at(m), 1, t, p, 1) for m, t, p in data], schemas.CONFIG_SNAPSHOT)
+        df = spark.createDataFrame([(at(m), b, t, p, 1) for m, b, t, p in data], schemas.CONFIG_SNAPSHOT)
         df.coalesce(1).write.parquet(str(tmp_path / f"source/n={n}"))
 
     def go():
         stream = (
             spark.readStream.schema(schemas.CONFIG_SNAPSHOT).option("recursiveFileLookup", True)
-            .parquet(str(tmp_path / "source"))
+            .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "source"))
         )
         jobs.start_config_changes(
-            stream, str(tmp_path / "stored"), str(tmp_path / "changes"), str(tmp_path / "check")
+            stream, *(str(tmp_path / n) for n in ("stored", "changes", "check")), "10 minutes", str(tmp_path / "brokers")
         ).trigger(availableNow=True).start().awaitTermination()
 
-    add(0, [(0, "a", 1), (0, "b", 1)])
+    def found():
+        return rows(spark.read.parquet(str(tmp_path / "changes")), "snapshot_at", "topic", "change")
+
+    add(0, [(0, 3, "a", 1)])
+    add(1, [(0, 3, "b", 1)])  # the same snapshot in another file
     go()
-    add(1, [(1, "a", 2), (1, "c", 1)])
+    add(2, [(60, 4, "a", 2)])
+    go()  # a restart, in the middle of a snapshot
+    assert found() == []
+    add(3, [(30, 3, "a", 1), (30, 3, "b", 1)])  # out of order, but 30 minutes late: closed without it
+    add(4, [(60, 4, "c", 1)])
+    add(5, [(55, 3, "a", 1), (55, 3, "b", 1)])  # out of order within the delay
+    add(6, [(120, 4, "a", 2), (120, 4, "c", 1)])
+    add(7, [(180, 4, "a", 2)])
     go()
-    assert rows(spark.read.parquet(str(tmp_path / "changes")), "topic", "change") == [
-        ("a", "CHANGED"), ("b", "REMOVED"), ("c", "NEW")
-    ]
+    got = found()
+    assert [(t, c) for at_, t, c in got if at_ == naive(60)] == [("a", "CHANGED"), ("b", "REMOVED"), ("c", "NEW")]
+    assert [g for g in got if g[0] in (naive(0), naive(55), naive(120), naive(180))] == []
+    assert rows(spark.read.parquet(str(tmp_path / "brokers")), "snapshot_at", "brokers_before", "brokers_after") == [(naive(60), 3, 4)]
 
 
 def test_analysis_sinks_store_each_event_once(spark, tmp_path):
@@ -202,3 +214,24 @@ def test_analysis_sinks_store_each_event_once(spark, tmp_path):
     routes = rows(spark.read.parquet(paths["routes"]), "key", "topic")
     assert [k for k, t in routes if t.endswith("recommended")] == ["e2"] and len(routes) == 5
     assert spark.read.parquet(paths["audit"]).count() == 4
+
+
+def test_analysis_sinks_take_the_events_of_the_engine(spark, small, tmp_path):
+    from lagscope.operators import recommend
+    from lagscope.plans.queries import Inputs
+
+    events = Inputs(spark, small).events()
+    source = str(tmp_path / "source")
+    events.unionByName(events.limit(5)).write.parquet(source)  # some twice in the first batch
+    paths = [str(tmp_path / n) for n in ("analyses", "recommendations", "audit", "routes", "check")]
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    jobs.start_analysis_sinks(stream, *paths).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(source).dropDuplicates(["analysis_id", "part"])
+    written, recommendations, audit = (spark.read.parquet(p) for p in paths[:3])
+    assert written.count() == stored.count() > 0
+    want = recommend.recommendation_rows(stored)
+    columns = want.drop("cli_commands").columns
+    assert recommendations.select(*columns).exceptAll(want.select(*columns)).count() == 0
+    assert recommendations.count() == want.count() > 0
+    assert audit.count() == stored.select("analysis_id").distinct().count()
+    assert written.filter(F.size("similar_incident_ids") != F.size("similar_incidents")).count() == 0
