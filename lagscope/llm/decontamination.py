@@ -150,7 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) as id", "xxhash64(text) as tie", "text")
     found = rows.mapInArrow(doc_seeds, SEEDS)
     theirs = items.select("seed", F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("left").alias("item_left"), F.col("size").alias("item_size"))
-    pairs = found.join(theirs, "seed").select("id", "tie", "tokens", "left", "item_id", "item_tokens", "item_left", "item_size")
+    # A merge join keeps the two Python steps in different stages: one worker for each core, not two.
+    pairs = found.join(theirs.hint("merge"), "seed").select("id", "tie", "tokens", "left", "item_id", "item_tokens", "item_left", "item_size")
     hits = pairs.mapInArrow(_agree, "doc_id long, tie long, item_id long, agreeing int")
     return hits.groupBy("doc_id", "tie", "item_id").agg(F.max("agreeing").alias("agreeing"))
 
