@@ -562,6 +562,16 @@ _plain["cosine_scores"] = f"""
 SELECT a.incident_id, a.id, round({COS}, 6) AS score FROM x_inc a
 JOIN (SELECT * FROM x_inc QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY id) = 1) b ON b.incident_id = a.incident_id"""
 _plain["vector_topk"] = "SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM x_top"
+_SIDE = """CASE WHEN list_dot_product(e, list_transform(range(1, len(e) + 1), lambda d:
+  ((d * d * 17 + d * ((k * k * 40503 + k * 9973 + 12345) % 65521) + k * 31) % 65521) / 65521.0::DOUBLE - 0.5::DOUBLE)) >= 0 THEN 1 << ((k - 1) % 8) ELSE 0 END"""
+_BUCKETS = "SELECT {key}, (k - 1) // 8 AS t, sum({side}) AS bucket FROM {table}, (SELECT unnest(range(1, 65)) AS k) GROUP BY {key}, (k - 1) // 8"
+_plain["vector_topk_lsh"] = f"""
+SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM (
+    SELECT a.query_id, b.id, {COS} AS score FROM x_query a, x_inc b
+    WHERE (a.query_id, b.id) IN (SELECT q.query_id, c.id FROM ({_BUCKETS.format(key="query_id", side=_SIDE, table="x_query")}) q
+      JOIN ({_BUCKETS.format(key="id", side=_SIDE, table="x_inc")}) c ON c.t = q.t AND c.bucket = q.bucket))
+  WHERE score >= 0.1) WHERE pos <= 20"""
 _plain["similar_incidents"] = """
 SELECT query_id, rank::INT AS position, incident_id, round(score, 6) AS similarity_score, cls AS lag_classification, consumer_group, topic,
   'CONSUMER_RESTART' AS resolution_type, minutes AS time_to_resolution_minutes, summary FROM x_similar"""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import cosine, dot
+from ..functions.columns import cosine
 
 # Queries up to this many bytes of vectors are sent to every task; more are split into blocks.
 LOCAL_QUERY_BYTES = 16 * 1024 * 1024
@@ -25,6 +25,7 @@ TILE_QUERIES, TILE_ROWS = 512, 4096
 # Scores are compared in units of 1e-9, so that the id decides between copies of a vector and
 # not the order of additions.
 RANK_SCALE = 1e9
+LSH_TABLES, LSH_BITS = 8, 8
 
 
 def retrieval_query_text(worst: DataFrame) -> DataFrame:
@@ -263,28 +264,40 @@ def runbook_search(
     )
 
 
-def hash_buckets(
-    vectors: DataFrame, key: str, bucket_length: float = 0.5, tables: int = 8, seed: int = 7
-) -> DataFrame:
-    """Index of a vector table: one narrow row (key, hash table, bucket) per hash table.
+def sign_planes(dims: int, tables: int, bits: int) -> np.ndarray:
+    """Fixed hyperplanes, one row each: every machine and every run makes the same ones."""
+    k = np.arange(1, tables * bits + 1, dtype=np.int64)[:, None]
+    d = np.arange(1, dims + 1, dtype=np.int64)[None, :]
+    factor = (k * k * 40503 + k * 9973 + 12345) % 65521
+    return (d * d * 17 + d * factor + k * 31) % 65521 / 65521.0 - 0.5
+
+
+def sign_buckets(vectors: DataFrame, key: str, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> DataFrame:
+    """Index of a vector table: rows (key, dims, table_no, bucket), one for each table.
 
-    Can be stored once, partitioned by hash table, and used for many searches. The same
-    parameters give the same buckets for every table with vectors of the same length.
+    A bucket is the sides of ``bits`` hyperplanes that a vector lies on, so close vectors share one in
+    some table. Can be stored once and used for many searches.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    source = vectors.filter("embedding is not null").select(key, "embedding")
+    schema = T.StructType([source.schema[key]])
+    schema = schema.add("dims", T.IntegerType()).add("table_no", T.IntegerType()).add("bucket", T.LongType())
 
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = vectors.filter("embedding is not null").select(
-        key,
-        array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), norm))).alias("v"),
-    )
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(unit)
-    return model.transform(unit).select(key, F.posexplode("hashes").alias("table_no", "hash")).select(
-        key, "table_no", vector_to_array("hash")[0].cast("bigint").alias("bucket")
-    )
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part in pdf.groupby(pdf["embedding"].map(len)):
+                x = np.stack([np.asarray(v, dtype="float64") for v in part["embedding"]])
+                side = (x @ sign_planes(n, tables, bits).T >= 0).reshape(len(x), tables, bits)
+                bucket = side @ (1 << np.arange(bits, dtype=np.int64))
+                yield pd.DataFrame(
+                    {
+                        key: np.repeat(part[key].to_numpy(), tables),
+                        "dims": np.int32(n),
+                        "table_no": np.tile(np.arange(tables, dtype=np.int32), len(x)),
+                        "bucket": bucket.reshape(-1),
+                    }
+                )
+
+    return source.mapInPandas(index, schema)
 
 
 def vector_topk_lsh(
@@ -293,19 +306,26 @@ def vector_topk_lsh(
     k: int,
     threshold: float,
     index: DataFrame | None = None,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 7,
+    tables: int = LSH_TABLES,
+    bits: int = LSH_BITS,
 ) -> DataFrame:
-    """Search for large corpora: only rows that share a bucket with some query are read and
-    scored, by the exact search. May miss rows that ``vector_topk`` finds; what it returns is
-    right. ``index`` is a stored ``hash_buckets`` of the corpus with the same parameters.
+    """Search for large corpora: a query is compared with the rows that share a bucket with it.
 
-    Buckets pick rows, not pairs, so a bucket that holds much of the corpus adds no more rows
-    than the corpus has.
+    May miss rows that ``vector_topk`` finds; what it returns has exact scores and order. ``index`` is
+    a stored ``sign_buckets`` of the corpus with the same parameters. More bits look at fewer rows,
+    more tables miss fewer. Buckets with very many rows are split by adaptive execution, which can
+    part the corpus side of the join.
     """
     if index is None:
-        index = hash_buckets(corpus, "id", bucket_length, tables, seed)
-    wanted = hash_buckets(queries, "query_id", bucket_length, tables, seed).select("table_no", "bucket").distinct()
-    ids = index.join(wanted, ["table_no", "bucket"], "left_semi").select("id").distinct()
-    return vector_topk(queries, corpus.join(ids, "id", "left_semi"), k, threshold)
+        index = sign_buckets(corpus, "id", tables, bits)
+    wanted = sign_buckets(queries, "query_id", tables, bits)
+    pairs = index.join(wanted, ["dims", "table_no", "bucket"]).select("query_id", "id").distinct()
+    scored = (
+        pairs.join(corpus.select("id", "embedding"), "id")
+        .join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+        .select("query_id", "id", cosine(F.col("_q"), F.col("embedding")).alias("score"))
+        .filter(F.col("score") >= threshold)
+        .withColumn("rank_score", F.rint(F.col("score") * RANK_SCALE).cast("bigint"))
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "id")
+    return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)

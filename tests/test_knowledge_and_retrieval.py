@@ -158,6 +158,9 @@ def test_hashed_search_finds_near_vectors(spark):
     exact, near = found(retrieval.vector_topk(q, c, 10, 0.8)), found(retrieval.vector_topk_lsh(q, c, 10, 0.8))
     hits = sum(len(set(exact[k]) & set(near.get(k, []))) for k in exact)
     assert hits >= 0.9 * sum(len(v) for v in exact.values())
+    buckets = [retrieval.sign_buckets(f, key) for f, key in ((q, "query_id"), (c, "id"))]
+    pairs = buckets[0].join(buckets[1], ["dims", "table_no", "bucket"]).select("query_id", "id").distinct().count()
+    assert pairs < 0.2 * q.count() * c.count()
 
 
 def test_vectors_of_several_lengths(spark):
