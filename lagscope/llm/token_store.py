@@ -35,7 +35,7 @@ from lagscope.session import store, working_dir
 
 END = 2
 SHARD_TOKENS = 1 << 20
-KEPT = 300_000
+KEPT = 600_000
 
 _INNER = re.compile(rb"[\s\x1c-\x1f\xc2\xe1-\xe3]")
 _MARKS = frozenset(b",.!?;:")

@@ -16,6 +16,8 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 MAGIC = b"WAVMTX01"
@@ -27,11 +29,13 @@ def build_planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int
     planes, zeros = [], []
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        ones = ((now >> now.dtype.type(b)) & now.dtype.type(1)).astype(bool)
-        low = now[~ones]
-        planes.append(np.packbits(ones, bitorder="little"))
+        plane = np.packbits((now & now.dtype.type(1 << b)).astype(bool), bitorder="little")
+        # A plane is the bitmap that Arrow filters by.
+        values = pa.array(now)
+        low, high = (np.asarray(pc.array_filter(values, pa.Array.from_buffers(pa.bool_(), len(now), [None, pa.py_buffer(m)]))) for m in (~plane, plane))
+        planes.append(plane)
         zeros.append(len(low))
-        now = np.concatenate((low, now[ones]))
+        now = np.concatenate((low, high))
     return planes, zeros
 
 
