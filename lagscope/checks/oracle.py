@@ -686,6 +686,12 @@ LEFT JOIN (SELECT snapshotted_at, count(*) AS n FROM x_rank GROUP BY 1) r ON r.s
 LEFT JOIN {_FRESH} f ON f.snapshotted_at = a.snapshotted_at
 LEFT JOIN (SELECT query_id, count(*) AS n FROM x_csimilar GROUP BY 1) i ON i.query_id = f.cls
 LEFT JOIN (SELECT query_id, count(*) AS n FROM x_crbtop GROUP BY 1) b ON b.query_id = f.cls""")
+ORACLE["event_from_model"] = sql(f"""SELECT {_UUID} AS analysis_id, a.snapshotted_at AS analyzed_at,
+  CASE WHEN k % 3 = 0 THEN 'cause ' || k ELSE '' END AS llm_root_cause_summary, CASE WHEN k % 3 = 0 THEN 0.75 ELSE 0 END::DOUBLE AS overall_confidence,
+  CASE WHEN k % 3 = 0 THEN '1:CONFIG_CHANGE' ELSE coalesce(r.l, '') END AS recommendations
+FROM (SELECT *, epoch_us(snapshotted_at) // 3600000000 AS k FROM x_act) a
+LEFT JOIN (SELECT snapshotted_at, string_agg(ordinal || ':' || recommendation_type, ',' ORDER BY ordinal) AS l FROM x_rank GROUP BY 1) r
+  ON r.snapshotted_at = a.snapshotted_at""")
 ORACLE["recommendation_rows"] = sql(
     f"SELECT {_UUID} AS analysis_id, a.* EXCLUDE (snapshotted_at, position), FALSE AS applied, a.snapshotted_at AS created_at FROM x_rank a"
 )

@@ -183,6 +183,35 @@ def validate_recs(raw: DataFrame, column: str = "output") -> tuple[DataFrame, Da
     return valid, checked.filter("rejected_for is not null")
 
 
+def model_results(raw: DataFrame, column: str = "output") -> DataFrame:
+    """Summary and confidence of each output that is a JSON object; other output is left out, so
+    that the rules answer in its place. ``raw`` has one output per row of its other columns."""
+    others = [c for c in raw.columns if c != column]
+    usable = F.try_parse_json(column).isNotNull()
+    parsed = raw.filter(usable & F.col(column).rlike(r"^\s*\{")).select(
+        *others, F.from_json(column, MODEL_OUTPUT, {"mode": "PERMISSIVE"}).alias("m")
+    )
+    return parsed.select(
+        *others,
+        F.coalesce("m.root_cause_summary", F.lit("")).alias("root_cause_summary"),
+        F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"),
+    )
+
+
+def choose_recs(heuristic: DataFrame, valid: DataFrame, results: DataFrame) -> DataFrame:
+    """Recommendations of each cycle: the model's where it answered, else those of the rules.
+
+    ``heuristic``: ``ranked_recs``; ``valid``: the valid ones of ``validate_recs`` and ``results``:
+    ``model_results``, both by ``snapshotted_at``.
+    """
+    answered = results.select("snapshotted_at")
+    model = valid.select("snapshotted_at", (F.col("item_no") + 1).cast("bigint").alias("ordinal"), *REC_COLUMNS)
+    rules = heuristic.join(answered, "snapshotted_at", "left_anti").select(
+        "snapshotted_at", F.col("ordinal").cast("bigint").alias("ordinal"), *REC_COLUMNS
+    )
+    return rules.unionByName(model)
+
+
 # ---------------------------------------------------------------- texts and events
 
 
@@ -326,11 +355,13 @@ def analysis_events(
     incidents: DataFrame | None = None,
     runbooks: DataFrame | None = None,
     part_rows: int = PART_ROWS,
+    results: DataFrame | None = None,
 ) -> DataFrame:
     """Nested analysis events of each cycle.
 
     ``cycles``: one row per actionable cycle with severity and health; ``topics``: scored topics
-    of its high groups with ``group_score``; ``recs``: ranked recommendations. An event carries
+    of its high groups with ``group_score``; ``recs``: ranked or chosen recommendations; ``results``:
+    ``model_results``, whose summary and confidence go into the event. An event carries
     at most ``part_rows`` topics and as many recommendations; a larger cycle has several parts
     under the same analysis id.
     """
@@ -379,6 +410,10 @@ def analysis_events(
         out, runbooks, ["runbook_id", "title", "section", "relevance_score"], "runbook_references",
         "array<struct<runbook_id:string,title:string,section:string,relevance_score:double>>",
     )
+    if results is None:
+        out = out.withColumn("root_cause_summary", F.lit("")).withColumn("confidence", F.lit(0.0))
+    else:
+        out = out.join(results, "snapshotted_at", "left")
     health = [c for c in ("total_partitions", "under_replicated", "offline", "leader_imbalance") if c in cycles.columns]
     return out.select(
         analysis_id().alias("analysis_id"),
@@ -386,8 +421,8 @@ def analysis_events(
         F.lit("SCHEDULED_POLL").alias("triggered_by"),
         F.col("snapshotted_at").alias("analyzed_at"),
         "severity",
-        F.lit("").alias("llm_root_cause_summary"),
-        F.lit(0.0).alias("overall_confidence"),
+        F.coalesce("root_cause_summary", F.lit("")).alias("llm_root_cause_summary"),
+        F.coalesce("confidence", F.lit(0.0)).alias("overall_confidence"),
         F.struct(*health).alias("partition_health"),
         F.coalesce("consumer_groups", F.array()).alias("consumer_groups"),
         "similar_incidents",

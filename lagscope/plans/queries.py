@@ -640,6 +640,20 @@ def analysis_event(i):
     )
 
 
+@query
+def event_from_model(i):
+    c = i.cycle()
+    outputs = D.cycle_outputs(c.cycles)
+    valid, _ = recommend.validate_recs(outputs)
+    results = recommend.model_results(outputs)
+    recs = recommend.choose_recs(c.recommendations, valid, results)
+    e = recommend.analysis_events(c.cycles, c.topics, recs, results=results)
+    return e.select(
+        "analysis_id", "analyzed_at", "llm_root_cause_summary", "overall_confidence",
+        F.array_join(F.transform("recommendations", lambda r: F.concat_ws(":", r["ordinal"].cast("string"), r["recommendation_type"])), ",").alias("recommendations"),
+    )
+
+
 @query
 def recommendation_rows(i):
     return recommend.recommendation_rows(i.events()).drop("cli_commands")

@@ -495,3 +495,15 @@ def model_outputs(lineitem: DataFrame) -> DataFrame:
         F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("analysis_id"),
         F.when(p % 17 == 0, F.substring(output, 1, 50)).otherwise(output).alias("output"),
     )
+
+
+def cycle_outputs(cycles: DataFrame) -> DataFrame:
+    """Model output of each cycle, by its hour: a third complete, a third cut off, a third missing."""
+    k = F.expr(f"unix_micros(snapshotted_at) div {HOUR_US}")
+    whole = F.concat(
+        F.lit('{"root_cause_summary": "cause '), k.cast("string"),
+        F.lit('", "recommendations": [{"rationale": "model"}, {"priority": "SOON"}], "confidence": 0.75}'),
+    )
+    return cycles.filter(k % 3 < 2).select(
+        "snapshotted_at", F.when(k % 3 == 0, whole).otherwise(F.substring(whole, 1, 30)).alias("output")
+    )
