@@ -725,3 +725,5 @@ ORACLE["stream_velocity"] = ORACLE["lag_velocity"]
 ORACLE["stream_alert_states"] = ORACLE["alert_states"]
 ORACLE["stream_ttl_dedup"] = ORACLE["ttl_dedup"]
 ORACLE["stream_messages_per_minute"] = ORACLE["messages_per_minute"]
+ORACLE["stream_analysis_sinks"] = ORACLE["recommendation_rows"]
+ORACLE["stream_config_changes"] = ORACLE["config_delta_topics"]

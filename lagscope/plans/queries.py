@@ -873,3 +873,27 @@ def stream_messages_per_minute(i):
         i, i.messages(), "timestamp", flush, lambda s: jobs.messages_per_window(s, delay="10 minutes")
     )
     return out.filter("topic <> '~'")
+
+
+@query
+def stream_analysis_sinks(i):
+    events = i.events()
+    source, *paths = (working_dir(i.spark, f"sinks-{n}") for n in ("events", "analyses", "recommendations", "audit", "routes", "state"))
+    events.write.parquet(source)
+    stream = readers.stream_table(i.spark, source, events.schema)
+    jobs.start_analysis_sinks(stream, *paths).trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.parquet(paths[1]).drop("batch", "cli_commands")
+
+
+@query
+def stream_config_changes(i):
+    configs = i.configs()
+    # A snapshot far in the future shows that all others are whole; it stays open itself.
+    end = i.spark.range(1).select(
+        *[(F.lit(FLUSH) if f.name == "snapshot_at" else F.lit("0")).cast(f.dataType).alias(f.name) for f in configs.schema.fields]
+    )
+    source, *paths = (working_dir(i.spark, f"changes-{n}") for n in ("input", "stored", "topics", "state"))
+    configs.unionByName(end).write.parquet(source)
+    stream = readers.stream_table(i.spark, source, configs.schema)
+    jobs.start_config_changes(stream, *paths).trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.parquet(paths[1]).drop("batch")
