@@ -75,26 +75,42 @@ def leader_imbalance(meta: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     )
 
 
+def scan_summary(meta: DataFrame, cfg: Thresholds = DEFAULTS, brokers: bool = False) -> DataFrame:
+    """Counts and imbalance of each scan, from one read of the table: first by (scan, leader), then
+    by scan. ``brokers`` adds the leaders per broker as a map."""
+    per_leader = (
+        visible_partitions(meta)
+        .groupBy("scan_at", "leader")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("is_offline").alias("off"),
+            F.count_if("is_under_replicated").alias("short"),
+        )
+    )
+    led = F.col("n") - F.col("off")
+    columns = [
+        F.sum("n").alias("total_partitions"),
+        F.sum("off").alias("offline"),
+        F.sum("short").alias("under_replicated"),
+        F.coalesce(F.try_divide(F.max(led), F.sum(led)), F.lit(0.0)).alias("leader_imbalance"),
+    ]
+    if brokers:
+        entry = F.when(led > 0, F.struct(F.col("leader").alias("broker_id"), led.alias("leader_count")))
+        columns.append(F.sort_array(F.collect_list(entry)).alias("_leaders"))
+    out = per_leader.groupBy("scan_at").agg(*columns)
+    if brokers:
+        filled = F.when(F.size("_leaders") > 0, F.map_from_entries("_leaders"))
+        out = out.withColumn("broker_partition_counts", filled).drop("_leaders")
+    return out
+
+
 def health_summary(meta: DataFrame, hotspots: DataFrame | None = None) -> DataFrame:
     """One row per scan: counts, imbalance, and leaders per broker as a map.
 
     The map has one entry per broker. ``hotspots`` (from ``partition_hotspots``, renamed to
     ``scan_at``) adds them as an array.
     """
-    leaders = (
-        broker_leader_counts(meta)
-        .groupBy("scan_at")
-        .agg(
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.struct("broker_id", "leader_count")))
-            ).alias("broker_partition_counts")
-        )
-    )
-    out = (
-        partition_health(meta)
-        .join(leader_imbalance(meta).drop("is_imbalanced"), "scan_at")
-        .join(leaders, "scan_at", "left")
-    )
+    out = scan_summary(meta, brokers=True)
     if hotspots is not None:
         listed = hotspots.groupBy("scan_at").agg(
             F.sort_array(

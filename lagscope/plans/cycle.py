@@ -33,9 +33,7 @@ class Cycle:
 
 def scan_health(meta: DataFrame) -> DataFrame:
     """Counts and imbalance of each scan, in one row."""
-    return health.partition_health(meta).join(
-        health.leader_imbalance(meta).drop("is_imbalanced"), "scan_at"
-    )
+    return health.scan_summary(meta)
 
 
 def lag_cycle(
