@@ -59,11 +59,16 @@ def parse_json(
     A message is bad when it is missing, is not JSON, or does not fit the schema.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = messages.withColumn(
-        "_parsed",
-        F.from_json(
-            column, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-        ),
+    # An array of one, unpacked: filters on what is parsed stay above it, so each text is parsed once.
+    parsed = messages.select(
+        "*",
+        F.explode(
+            F.array(
+                F.from_json(
+                    column, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+                )
+            )
+        ).alias("_parsed"),
     )
     reason = (
         F.when(F.col(column).isNull(), "missing value")

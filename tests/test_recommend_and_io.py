@@ -145,3 +145,12 @@ def test_routes(spark):
     assert rows(sinks.publish_routes(e), "key", "topic") == [
         ("e1", "kafka.ops.analysis.completed"), ("e2", "kafka.ops.analysis.completed"), ("e2", "kafka.ops.scaling.recommended"),
     ]
+
+
+def test_each_message_is_parsed_once(spark):
+    from pyspark.sql import types as T
+
+    msgs = spark.createDataFrame([("t", 0, 0, "k", "{}", at(0))], schemas.RAW_MESSAGE)
+    for part in readers.parse_json(msgs, T.StructType([T.StructField("a", T.StringType())])):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, plan
