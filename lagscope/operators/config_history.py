@@ -171,3 +171,10 @@ def config_table(snaps: DataFrame) -> DataFrame:
     return config_delta_summary(snaps).join(topics, "snapshot_at").select(
         "snapshot_at", "broker_count", "topics", "change_delta"
     )
+
+
+def newest_snapshots(snaps: DataFrame, count: int) -> DataFrame:
+    """Rows of the newest ``count`` snapshots and of the one before them, which they are compared
+    with. A report of a few snapshots works on these rows and not on the whole history."""
+    newest = snaps.select("snapshot_at").distinct().orderBy(F.desc("snapshot_at")).limit(count + 1)
+    return snaps.join(F.broadcast(newest), "snapshot_at", "left_semi")

@@ -694,7 +694,8 @@ def list_recommendations(i):
 
 @query
 def list_cluster_configs(i):
-    return reports.list_cluster_configs(config_history.config_table(i.configs()))
+    newest = config_history.newest_snapshots(i.configs(), 10)
+    return reports.list_cluster_configs(config_history.config_table(newest), 10)
 
 
 @query

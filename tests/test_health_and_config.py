@@ -155,3 +155,16 @@ def test_running_counter(spark):
     df = spark.createDataFrame([("a", at(0)), ("a", at(0)), ("a", at(900_000)), ("b", at(1))], "severity string, ts timestamp")
     out = metrics.running_counter(df, ["severity"], "ts")
     assert rows(out, "severity", "total") == [("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_newest_snapshots_keep_the_one_they_are_compared_with(spark):
+    from lagscope.operators import config_history
+    from lagscope.sources.derived import config_snapshots
+
+    rows = [(i, i % 3, f"2024-{m:02d}-03") for m in range(1, 9) for i in range(m)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, c long, d string").selectExpr("o_orderkey", "c * 50 as o_custkey", "cast(d as date) as o_orderdate")
+    snaps = config_snapshots(orders)
+    whole = {r.snapshot_at: r.change_delta for r in config_history.config_table(snaps).collect()}
+    part = {r.snapshot_at: r.change_delta for r in config_history.config_table(config_history.newest_snapshots(snaps, 3)).collect()}
+    newest = sorted(whole)[-3:]
+    assert len(part) == 4 and [part[k] for k in newest] == [whole[k] for k in newest]
