@@ -86,8 +86,9 @@ def measure(text: pa.Array, top: dict[int, float], duplicated: dict[int, float])
     _, later = _repeated(line_key)
     n_dup_lines = np.bincount(line_doc[later], minlength=docs) if len(lines) else np.zeros(docs, np.int64)
     n_lines = np.bincount(line_doc, minlength=docs) if len(lines) else np.zeros(docs, np.int64)
-    dup_line_chars = np.bincount(line_doc[later], weights=(leading[stop] - leading[begin])[later], minlength=docs) if len(lines) else np.zeros(docs)
-    line_chars = np.bincount(line_doc, weights=leading[stop] - leading[begin], minlength=docs) if len(lines) else np.zeros(docs)
+    in_words = np.bincount(np.searchsorted(lines, line_of), weights=chars, minlength=len(lines))
+    dup_line_chars = np.bincount(line_doc[later], weights=in_words[later], minlength=docs) if len(lines) else np.zeros(docs)
+    line_chars = np.bincount(line_doc, weights=in_words, minlength=docs) if len(lines) else np.zeros(docs)
 
     total = np.maximum(word_chars, 1)
     chars_to = np.concatenate(([0], np.cumsum(chars)))

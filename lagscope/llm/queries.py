@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lagscope.llm import warc
 from lagscope.llm.decontamination import contaminated
 from lagscope.llm.katz import katz_scores
+from lagscope.llm.oracle import ORACLE  # noqa: F401
 from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.sentencepiece_fst import encode_documents
@@ -87,19 +88,3 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE: dict[str, str] = {
-    "op6_warc": """
-        with p as (
-            select page_id, encode(coalesce(html, '')) as body from pages
-        ), d as (
-            select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p
-        ), k as (
-            select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by 1
-        )
-        select d.page_id, d.payload_bytes, d.payload_digest,
-            case when k.keeper is not null and k.keeper is distinct from d.page_id then 'revisit' else 'response' end as record_type,
-            case when k.keeper is distinct from d.page_id then k.keeper end as refers_to
-        from d left join k on d.payload_digest = k.payload_digest and d.payload_bytes >= 1000
-    """,
-}
