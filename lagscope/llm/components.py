@@ -9,7 +9,8 @@ from lagscope.session import store
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Each node with a link, as ``node``, and the smallest node it reaches, as ``root``.
+    """Each node with a link to a smaller one or a chain to it, as ``node``, and the smallest node it reaches,
+    as ``root``. The roots themselves have no row.
 
     ``edges`` has long columns ``a`` and ``b``. Rounds of large-star and small-star steps: every
     round hangs neighbours on the smallest node near them, so no node's neighbours are gathered in
@@ -26,7 +27,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = store(small.distinct(), name)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
