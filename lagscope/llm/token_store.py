@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, s
             name = write_new(folder, ".wm", content)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [name], "n_tokens": pa.array([size], pa.int64())})
 
-        for batch in small_batches(batches, 8 << 20):
+        for batch in small_batches(batches, 16 << 20):
             coded, n = encoder.encode(batch.column(1))
             held.append(np.insert(coded, np.cumsum(n), end))
             counts.append(n + 1)
