@@ -562,6 +562,9 @@ _plain["cosine_scores"] = f"""
 SELECT a.incident_id, a.id, round({COS}, 6) AS score FROM x_inc a
 JOIN (SELECT * FROM x_inc QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY id) = 1) b ON b.incident_id = a.incident_id"""
 _plain["vector_topk"] = "SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM x_top"
+CTES["x_cfg"] = "SELECT 'CFG-' || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings"
+CTES["x_cfgtop"] = _top("x_cquery", "x_cfg", 5)
+_plain["config_similarity"] = "SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM x_cfgtop"
 _SIDE = """CASE WHEN list_dot_product(e, list_transform(range(1, len(e) + 1), lambda d:
   ((d * d * 17 + d * ((k * k * 40503 + k * 9973 + 12345) % 65521) + k * 31) % 65521) / 65521.0::DOUBLE - 0.5::DOUBLE)) >= 0 THEN 1 << ((k - 1) % 8) ELSE 0 END"""
 _BUCKETS = "SELECT {key}, (k - 1) // 8 AS t, sum({side}) AS bucket FROM {table}, (SELECT unnest(range(1, 65)) AS k) GROUP BY {key}, (k - 1) // 8"

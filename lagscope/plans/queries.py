@@ -580,6 +580,14 @@ def retrieval_query_text(i):
     return retrieval.retrieval_query_text(lag.worst_group_topic(i.scored(), HOURLY))
 
 
+@query
+def config_similarity(i):
+    past = i.table("embeddings").select(
+        F.concat(F.lit("CFG-"), F.col("vec_id").cast("string")).alias("id"), "embedding"
+    )
+    return retrieval.vector_topk(i.class_queries(), past, 5, THRESHOLD).select("query_id", "id", "score", "position")
+
+
 @query
 def vector_topk_lsh(i):
     return retrieval.vector_topk_lsh(i.queries(), i.incident_vectors(), 20, THRESHOLD).select(
