@@ -224,7 +224,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = store(keys.mapInArrow(run, "doc_id long, tie long, print long"), "simhash-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")
     of_print = rows.groupBy("print").agg(first)
-    best = of_print.join(_classes(rows).select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first"))
+    return keep(docs, rows, of_print.join(_classes(rows).select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first")))
+
+
+def keep(docs: DataFrame, rows: DataFrame, best: DataFrame) -> DataFrame:
+    """The documents that ``best`` names in ``first`` (doc_id, tie), each once; ``rows`` has doc_id and tie of all."""
     stay = best.select(F.col("first.doc_id").alias("id"), F.col("first.tie").alias("tie"))
     left = _with_key(docs, stay, "left_semi")
     # Repeated rows are rare, so they are looked for in the keys, and only they are numbered.
