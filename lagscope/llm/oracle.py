@@ -54,3 +54,36 @@ FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND d.payload_bytes >=
 """
 
 ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op6_warc": WARC}
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT d.*, regexp_extract_all(t, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+f AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (SELECT o, s, instr('ABCDE', substr(o, s, 1)) - 1 AS bit FROM orders, range(1, 6) r(s)),
+parts AS (SELECT DISTINCT part FROM f),
+hit AS (SELECT f.*, o.o, (SELECT min(s) FROM steps x WHERE x.o = o.o AND (f.mask >> x.bit) & 1 = 1) AS gone FROM f, orders o),
+by_step AS (SELECT h.part, st.o, st.s, st.bit,
+    count(*) FILTER (h.gone IS NULL OR h.gone > st.s) AS kept,
+    count(*) FILTER (h.gone = st.s) AS removed,
+    count(*) FILTER (h.gone < st.s AND (h.mask >> st.bit) & 1 = 1) AS redundant,
+    count(*) FILTER (h.mask = 1 << st.bit) AS unique_fails,
+    count(*) FILTER (h.gone = st.s AND h.good = 1) AS good_lost,
+    count(*) FILTER (h.gone = st.s AND h.toxic = 1) AS toxic_lost
+  FROM hit h JOIN steps st ON st.o = h.o GROUP BY ALL),
+grid AS (SELECT p.part, st.o, st.s, st.bit FROM parts p, steps st)
+SELECT g.part, g.o AS filter_order, g.s::INT AS step, coalesce(b.kept, 0)::BIGINT AS kept, coalesce(b.removed, 0)::BIGINT AS removed,
+  coalesce(b.redundant, 0)::BIGINT AS redundant, coalesce(b.unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(b.good_lost, 0)::BIGINT AS good_lost, coalesce(b.toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(b.removed, 0)) OVER (PARTITION BY g.part, g.bit))::BIGINT AS shapley
+FROM grid g LEFT JOIN by_step b ON b.part = g.part AND b.o = g.o AND b.s = g.s
+"""
+
+ORACLE["op12_filter_audit"] = FILTER_AUDIT

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.llm import warc
 from lagscope.llm.decontamination import contaminated
+from lagscope.llm.filter_audit import filter_audit
 from lagscope.llm.katz import katz_scores
 from lagscope.llm.oracle import ORACLE  # noqa: F401
 from lagscope.llm.quality_classifier import quality_scores
@@ -76,6 +77,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,4 +92,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
