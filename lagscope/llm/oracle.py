@@ -87,3 +87,26 @@ FROM grid g LEFT JOIN by_step b ON b.part = g.part AND b.o = g.o AND b.s = g.s
 """
 
 ORACLE["op12_filter_audit"] = FILTER_AUDIT
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+tk AS (SELECT rid, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+gc AS (SELECT lang, source, term, count(*) AS cnt FROM tk GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT rid, lang, term FROM tk) GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(gc.cnt, 0) AS cnt, v.v FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN gc ON gc.lang = g.lang AND gc.source = g.source AND gc.term = k.term),
+gp AS (SELECT *, 1 + (1000000000::HUGEINT * (cnt + 5)) // (sum(cnt) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM dense),
+ld AS (SELECT lang, term, sum(cnt) AS cnt, any_value(v) AS v FROM dense GROUP BY lang, term),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (cnt + 5)) // (sum(cnt) OVER (PARTITION BY lang) + 5 * v) AS q FROM ld),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(dist.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+terms AS (SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, gp.p - lp.q AS value FROM gp JOIN lp ON lp.lang = gp.lang AND lp.term = gp.term WHERE gp.cnt > 0 AND gp.p > lp.q),
+u AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rk FROM u)
+SELECT lang, source, part, item, value::BIGINT AS value, rk::INTEGER AS "rank" FROM r WHERE part = 'pair' OR rk <= 50
+"""
+
+ORACLE["op11_source_divergence"] = SOURCE_DIVERGENCE

@@ -15,6 +15,7 @@ from lagscope.llm.quality_classifier import quality_scores
 from lagscope.llm.quality_rules import quality_rules
 from lagscope.llm.sentencepiece_fst import encode_documents
 from lagscope.llm.simhash_dedup import simhash_classes
+from lagscope.llm.source_divergence import source_divergence
 from lagscope.llm.suffix_dedup import repeated_passages
 from lagscope.llm.token_store import token_store
 from lagscope.llm.toxicity import toxicity
@@ -77,6 +78,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -92,5 +97,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
 }
