@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagscope.llm import warc
 from lagscope.llm.decontamination import contaminated
@@ -19,6 +20,7 @@ from lagscope.llm.source_divergence import source_divergence
 from lagscope.llm.suffix_dedup import repeated_passages
 from lagscope.llm.token_store import token_store
 from lagscope.llm.toxicity import toxicity
+from lagscope.llm.winnowing import fingerprints
 
 
 def tokenizer_file(name: str) -> str:
@@ -86,6 +88,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _hex(hashes: str) -> F.Column:
+    return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", _hex("hashes").alias("fingerprint"), _hex("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -99,4 +112,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
+    "op13_winnowing": op13_winnowing,
 }
