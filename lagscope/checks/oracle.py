@@ -562,6 +562,7 @@ _plain["cosine_scores"] = f"""
 SELECT a.incident_id, a.id, round({COS}, 6) AS score FROM x_inc a
 JOIN (SELECT * FROM x_inc QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY id) = 1) b ON b.incident_id = a.incident_id"""
 _plain["vector_topk"] = "SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM x_top"
+_plain["vector_topk_ivf"] = _plain["vector_topk"]  # the index is completed to the exact neighbours
 CTES["x_cfg"] = "SELECT 'CFG-' || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings"
 CTES["x_cfgtop"] = _top("x_cquery", "x_cfg", 5)
 _plain["config_similarity"] = "SELECT query_id, id, round(score, 6) AS score, pos::INT AS position FROM x_cfgtop"

@@ -19,6 +19,7 @@ from ..operators import (
     config_history,
     dedup,
     health,
+    ivf,
     knowledge,
     lag,
     metrics,
@@ -588,6 +589,11 @@ def config_similarity(i):
     return retrieval.vector_topk(i.class_queries(), past, 5, THRESHOLD).select("query_id", "id", "score", "position")
 
 
+@query
+def vector_topk_ivf(i):
+    return ivf.vector_topk_ivf(i.queries(), i.incident_vectors(), 20, THRESHOLD).select("query_id", "id", "score", "position")
+
+
 @query
 def vector_topk_lsh(i):
     return retrieval.vector_topk_lsh(i.queries(), i.incident_vectors(), 20, THRESHOLD).select(
