@@ -84,8 +84,10 @@ def fit_cells(corpus: DataFrame, cells: int | None = None, sample_rows: int = SA
 
 def assign(corpus: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     """The index: ``id, dims, cell, part, reach, embedding`` for every corpus row with a vector."""
-    source = corpus.filter("embedding is not null").select("id", "embedding")
+    extra = [c for c in corpus.columns if c == "_tags"]  # tags a query may ask for
+    source = corpus.filter("embedding is not null").select("id", "embedding", *extra)
     schema = f"id {source.schema['id'].dataType.simpleString()}, dims int, cell int, reach double, embedding {source.schema['embedding'].dataType.simpleString()}"
+    schema += "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in extra)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,7 +97,10 @@ def assign(corpus: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                 sims = _unit(part["embedding"]) @ centres[n].T
                 cell = np.argmax(sims, axis=1)
                 best = sims[np.arange(len(cell)), cell]
-                yield pd.DataFrame({"id": part["id"], "dims": np.int32(n), "cell": cell.astype(np.int32), "reach": np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best)), "embedding": part["embedding"]})
+                out = pd.DataFrame({"id": part["id"], "dims": np.int32(n), "cell": cell.astype(np.int32), "reach": np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best)), "embedding": part["embedding"]})
+                for c in extra:
+                    out[c] = part[c]
+                yield out
 
     return source.mapInPandas(near, schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPLIT)).cast("int"))
 
@@ -112,7 +117,9 @@ def _probes(queries: DataFrame, centres: dict[int, np.ndarray], radius: dict[int
     """Cells to score for each query: the nearest ``probes``, or the others whose bound reaches ``floor``."""
     kind = queries.schema["query_id"].dataType.simpleString()
     emb = queries.schema["embedding"].dataType.simpleString()
-    cols = ["query_id", "embedding"] + (["floor"] if second else [])
+    extra = [c for c in queries.columns if c == "_match"]
+    cols = ["query_id", "embedding"] + extra + (["floor"] if second else [])
+    schema = f"query_id {kind}, dims int, cell int, _q {emb}" + "".join(f", {c} {queries.schema[c].dataType.simpleString()}" for c in extra)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,9 +140,12 @@ def _probes(queries: DataFrame, centres: dict[int, np.ndarray], radius: dict[int
                     chosen = first
                 chosen &= r >= 0
                 qi, ci = np.nonzero(chosen)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[qi], "dims": np.int32(n), "cell": ci.astype(np.int32), "_q": part["embedding"].to_numpy()[qi]})
+                out = pd.DataFrame({"query_id": part["query_id"].to_numpy()[qi], "dims": np.int32(n), "cell": ci.astype(np.int32), "_q": part["embedding"].to_numpy()[qi]})
+                for name in extra:
+                    out[name] = part[name].to_numpy()[qi]
+                yield out
 
-    return queries.select(*cols).mapInPandas(pick, f"query_id {kind}, dims int, cell int, _q {emb}").withColumn(
+    return queries.select(*cols).mapInPandas(pick, schema).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))
     )
 
@@ -148,9 +158,12 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def _scored(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    matched = "_match" in probes.columns
+    found = probes.join(index.select("dims", "cell", "part", "id", "embedding", *(["_tags"] if matched else [])), ["dims", "cell", "part"])
+    if matched:
+        found = found.where(F.array_contains("_tags", F.col("_match")))
     return (
-        probes.join(index.select("dims", "cell", "part", "id", "embedding"), ["dims", "cell", "part"])
-        .select("query_id", "id", "part", cosine(F.col("_q"), F.col("embedding")).alias("score"))
+        found.select("query_id", "id", "part", cosine(F.col("_q"), F.col("embedding")).alias("score"))
         .where(F.col("score") >= threshold)
         .withColumn("rank_score", F.rint(F.col("score") * RANK_SCALE).cast("bigint"))
     )
@@ -167,18 +180,20 @@ def vector_topk_ivf(
     exact: bool = True,
 ) -> DataFrame:
     """``query_id, id, score, rank_score, position``: the ``k`` nearest rows of each query with cosine
-    of at least ``threshold``. ``index`` and ``centres``: a stored ``assign`` and its ``fit_cells``."""
+    of at least ``threshold``. ``index`` and ``centres``: a stored ``assign`` and its ``fit_cells``.
+
+    A query column ``_match`` keeps only corpus rows whose array column ``_tags`` holds its value."""
     if centres is None:
         centres = fit_cells(corpus)
     if index is None:
         index = assign(corpus, centres)
     radius = radii(index)
-    asked = queries.filter("embedding is not null").select("query_id", "embedding")
+    asked = queries.filter("embedding is not null").select("query_id", "embedding", *[c for c in queries.columns if c == "_match"])
     first = _best(_scored(_probes(asked, centres, radius, probes, False), index, threshold), k)
     if not exact:
         return first.drop("part")
     floor = first.groupBy("query_id").agg(F.count("*").alias("_found"), F.min("rank_score").alias("_kth"))
     level = F.when(F.col("_found") >= k, F.greatest(F.col("_kth") / RANK_SCALE, F.lit(threshold))).otherwise(F.lit(threshold))
-    more = asked.join(floor, "query_id", "left").select("query_id", "embedding", level.alias("floor"))
+    more = asked.join(floor, "query_id", "left").select(*asked.columns, level.alias("floor"))
     second = _scored(_probes(more, centres, radius, probes, True), index, threshold)
     return _best(first.drop("position").unionByName(second), k).drop("part")

@@ -1,8 +1,7 @@
 """Exact vector search by cosine, and searches built on it.
 
-Vectors are input columns. A search never joins the corpus with the queries row by row: tasks
-multiply a block of the corpus with a block of queries and hand on at most the best ``k`` per
-query, so what is shuffled is (tasks x queries x k) small rows.
+Vectors are input columns. Exact search goes through the inverted file of ``ivf``: a query is
+scored only against the cells that can hold one of its best ``k``.
 """
 
 from __future__ import annotations
@@ -16,12 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import cosine
+from . import ivf
 
-# Queries up to this many bytes of vectors are sent to every task; more are split into blocks.
-LOCAL_QUERY_BYTES = 16 * 1024 * 1024
-BLOCK_ROWS = 20_000
-# Scores of so many queries and rows at a time, which bounds a task's memory.
-TILE_QUERIES, TILE_ROWS = 512, 4096
 # Scores are compared in units of 1e-9, so that the id decides between copies of a vector and
 # not the order of additions.
 RANK_SCALE = 1e9
@@ -52,151 +47,18 @@ def cosine_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("score", cosine(F.col(a), F.col(b)))
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype="float64") for v in vectors])
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return x / norm
-
-
-class _Best:
-    """The best k of each query over the blocks seen so far: by score, then by id."""
-
-    def __init__(self, q_ids, q_vectors, q_match, k: int, threshold: float):
-        self.q_ids, self.q, self.q_match = list(q_ids), _unit(q_vectors), q_match
-        self.k, self.threshold = k, threshold
-        self.ids = [np.array([], dtype=object) for _ in self.q_ids]
-        self.scores = [np.array([]) for _ in self.q_ids]
-
-    def add(self, ids, vectors, tags=None) -> None:
-        ids, vectors = np.asarray(ids, dtype=object), list(vectors)
-        sets = None if self.q_match is None else [set(t) if t is not None else set() for t in tags]
-        for at in range(0, len(ids), TILE_ROWS):
-            rows = slice(at, at + TILE_ROWS)
-            unit = _unit(vectors[rows]).T
-            has = None if sets is None else {m: np.array([m in s for s in sets[rows]]) for m in set(self.q_match)}
-            for first in range(0, len(self.q), TILE_QUERIES):
-                self._tile(first, self.q[first : first + TILE_QUERIES] @ unit, ids[rows], has)
-
-    def _tile(self, first: int, scores: np.ndarray, ids: np.ndarray, has) -> None:
-        ok = scores >= self.threshold
-        if has is not None:
-            ok &= np.stack([has[m] for m in self.q_match[first : first + len(scores)]])
-        for j in np.flatnonzero(ok.any(axis=1)):
-            i = first + j
-            s = np.concatenate([self.scores[i], scores[j][ok[j]]])
-            d = np.concatenate([self.ids[i], ids[ok[j]]])
-            keep = self._first(np.rint(s * RANK_SCALE), d)
-            self.scores[i], self.ids[i] = s[keep], d[keep]
-
-    def _first(self, rank: np.ndarray, ids: np.ndarray):
-        if len(rank) <= self.k:
-            return slice(None)
-        limit = np.partition(rank, len(rank) - self.k)[len(rank) - self.k]
-        above, equal = np.flatnonzero(rank > limit), np.flatnonzero(rank == limit)
-        equal = equal[np.argsort(ids[equal], kind="stable")[: self.k - len(above)]]
-        return np.concatenate([above, equal])
-
-    def frame(self) -> pd.DataFrame:
-        n = [len(s) for s in self.scores]
-        scores = np.concatenate(self.scores) if self.scores else np.array([])
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(np.array(self.q_ids, dtype=object), n),
-                "id": np.concatenate(self.ids) if self.ids else np.array([], dtype=object),
-                "score": scores,
-                "rank_score": np.rint(scores * RANK_SCALE).astype("int64"),
-            }
-        )
-
-
-def vector_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    threshold: float,
-    match: tuple[str, str] | None = None,
-    local_query_bytes: int = LOCAL_QUERY_BYTES,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, match: tuple[str, str] | None = None) -> DataFrame:
     """The ``k`` nearest corpus rows of each query with cosine of at least ``threshold``.
 
     ``queries`` has (query_id, embedding), ``corpus`` (id, embedding). ``match`` names a query
-    column and an array column of the corpus that must contain its value. Few queries travel to
-    the corpus, which then is not shuffled; when they are more than ``local_query_bytes``, both
-    sides are cut into blocks and every pair of blocks becomes one task. Both ways are exact.
+    column and an array column of the corpus that must contain its value. One path at every size:
+    the inverted file of ``ivf``, probed nearest cell first and completed by the cells whose radius
+    bound reaches the k-th score, so the result is exact and no pair of blocks is scored whole.
     A query is compared with the vectors of its own length; there may be several lengths.
     """
-    q_cols = ["query_id", "embedding"] + ([F.col(match[0]).alias("_match")] if match else [])
-    c_cols = ["id", "embedding"] + ([F.col(match[1]).alias("_tags")] if match else [])
-    q = queries.filter("embedding is not null").select(*q_cols)
-    c = corpus.filter("embedding is not null").select(*c_cols)
-    schema = T.StructType(
-        [
-            q.schema["query_id"],
-            c.schema["id"],
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rank_score", T.LongType()),
-        ]
-    )
-
-    size = q.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
-    if size <= local_query_bytes:
-        best = _search_local(q.toPandas(), c, k, threshold, bool(match), schema)
-    else:
-        best = _search_blocks(q, c, k, threshold, bool(match), schema, block_rows)
-    w = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "id")
-    return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
-
-
-def _search_local(local, corpus, k, threshold, matched, schema) -> DataFrame:
-    by_length = {
-        n: (part["query_id"].tolist(), np.stack(part["embedding"].tolist()), part["_match"].tolist() if matched else None)
-        for n, part in local.groupby(local["embedding"].map(len))
-    }
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {n: _Best(*queries, k, threshold) for n, queries in by_length.items()}
-        for pdf in batches:
-            for n, part in pdf.groupby(pdf["embedding"].map(len)):
-                if n in best:
-                    best[n].add(part["id"], part["embedding"], part["_tags"] if matched else None)
-        for found in best.values():
-            yield found.frame()
-
-    return corpus.mapInPandas(search, schema)
-
-
-def _search_blocks(q, c, k, threshold, matched, schema, block_rows) -> DataFrame:
-    q_blocks = max(1, -(-q.count() // block_rows))
-    c_blocks = max(1, -(-c.count() // block_rows))
-
-    def spread(df, key, mine, own, other, others):
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
-        )
-
-    n = F.size("embedding")
-    left = spread(q.withColumn("_n", n), "query_id", "_qb", q_blocks, "_cb", c_blocks).groupBy("_n", "_qb", "_cb")
-    right = spread(c.withColumn("_n", n), "id", "_cb", c_blocks, "_qb", q_blocks).groupBy("_n", "_qb", "_cb")
-
-    def search(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(cs):
-            return pd.DataFrame(
-                {
-                    "query_id": qs["query_id"].iloc[:0],
-                    "id": cs["id"].iloc[:0],
-                    "score": np.array([], dtype="float64"),
-                    "rank_score": np.array([], dtype="int64"),
-                }
-            )
-        best = _Best(
-            qs["query_id"], qs["embedding"], qs["_match"].tolist() if matched else None, k, threshold
-        )
-        best.add(cs["id"], cs["embedding"], cs["_tags"] if matched else None)
-        return best.frame()
-
-    return left.cogroup(right).applyInPandas(search, schema)
+    q = queries.select("query_id", "embedding", *([F.col(match[0]).alias("_match")] if match else []))
+    c = corpus.select("id", "embedding", *([F.col(match[1]).alias("_tags")] if match else []))
+    return ivf.vector_topk_ivf(q, c, k, threshold)
 
 
 def similar_incidents(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagscope.functions.columns import snapshot_id, stable_id
-from lagscope.operators import knowledge, retrieval
+from lagscope.operators import ivf, knowledge, retrieval
 from lagscope.sources import readers
 
 from helpers import rows
@@ -101,8 +101,8 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize("local_bytes", [1 << 20, 1])
-def test_search_is_exact_in_both_ways(spark, local_bytes):
+@pytest.mark.parametrize("probes", [1, 64])
+def test_search_is_exact_in_both_ways(spark, probes):
     # A third of the corpus are copies of one vector: the limit must hold and ids decide.
     c, cv = vectors(spark, 120, copies=60)
     q, qv = vectors(spark, 15, seed=9)
@@ -110,7 +110,8 @@ def test_search_is_exact_in_both_ways(spark, local_bytes):
         c.filter("id = 0").select(F.lit(99).cast("bigint").alias("query_id"), "embedding")
     )
     qv = {**qv, 99: cv[0]}
-    got = retrieval.vector_topk(q, c.repartition(5), 7, 0.3, local_query_bytes=local_bytes, block_rows=40)
+    got = ivf.vector_topk_ivf(q, c.repartition(5), 7, 0.3, probes=probes).drop("part")
+    assert found(got) == found(retrieval.vector_topk(q, c.repartition(5), 7, 0.3))
     expected = {k: v for k, v in brute(qv, cv, 7, 0.3).items() if v}
     assert found(got) == expected
     assert found(got)[99] == [0, 120, 121, 122, 123, 124, 125]
@@ -166,23 +167,21 @@ def test_hashed_search_finds_near_vectors(spark):
 def test_vectors_of_several_lengths(spark):
     queries = spark.createDataFrame([("q2", [1.0, 0.0]), ("q3", [0.0, 1.0, 0.0]), ("q5", [1.0] * 5)], "query_id string, embedding array<double>")
     corpus = spark.createDataFrame([(1, [2.0, 0.1]), (2, [0.0, 3.0, 0.1]), (3, [0.1, 0.2, 9.0])], "id long, embedding array<double>")
-    for limit in (1 << 20, 1):  # queries sent to the corpus, and blocks of both
-        got = retrieval.vector_topk(queries, corpus, 3, 0.5, local_query_bytes=limit)
-        assert sorted((r.query_id, r.id) for r in got.collect()) == [("q2", 1), ("q3", 2)]
+    got = retrieval.vector_topk(queries, corpus, 3, 0.5)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == [("q2", 1), ("q3", 2)]
 
 
-def test_many_queries_are_scored_in_tiles(spark, monkeypatch):
+def test_many_queries_and_cells(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
     q, c = rng.normal(size=(40, 128)), rng.normal(size=(90, 128))
-    best = retrieval._Best(range(40), list(q), None, 4, -1.0)
-    monkeypatch.setattr(retrieval, "TILE_QUERIES", 7)
-    monkeypatch.setattr(retrieval, "TILE_ROWS", 11)
-    best.add(range(90), list(c))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "id long, embedding array<double>")
+    got = found(retrieval.vector_topk(queries, corpus, 4, -1.0))
     cosine = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
     for i in range(40):
-        assert set(best.ids[i]) == set(np.argsort(-cosine[i])[:4])
+        assert set(got[i]) == set(np.argsort(-cosine[i])[:4])
 
 
 def test_chunk_without_incident_stands_for_itself(spark):
