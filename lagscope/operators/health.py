@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,19 +214,55 @@ def hotspot_cleared(
     return hot.join(newest, ["topic", "partition"])
 
 
-def hot_keys(records: DataFrame, hotspots: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent keys of every partition that was hot.
+def _local_tops(keep: int, key_type: str):
+    """Each task's own key counts per partition: its ``keep`` most frequent keys, and one row with
+    a null key and the count of the next one, which no key the task left out exceeds."""
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        counts = pd.concat(parts).groupby(["topic", "partition", "key"], dropna=False).size().rename("n").reset_index()
+        counts = counts.sort_values(["topic", "partition", "n", "key"], ascending=[True, True, False, True], kind="stable")
+        place = counts.groupby(["topic", "partition"]).cumcount()
+        top = counts[place < keep].assign(left=False)
+        rest = counts[place == keep].assign(key=None, left=True)
+        yield pd.concat([top, rest])[["topic", "partition", "key", "n", "left"]]
+
+    return tops, f"topic string, partition int, key {key_type}, n long, left boolean"
 
-    Counting combines before the shuffle; the ranking keeps ``k`` rows per task before it.
+
+def hot_keys(records: DataFrame, hotspots: DataFrame, k: int = 10, keep: int | None = None) -> DataFrame:
+    """The ``k`` most frequent keys of every partition that was hot, exact.
+
+    Each task hands on only its ``keep`` (default ``8 k``) most frequent keys of a partition and
+    the count of its next key; a key that no task handed on has at most the sum of those counts.
+    The handed-on keys are counted exactly; where the k-th of them is above that sum the result is
+    exact, and only the other partitions are counted key by key. So the shuffle grows with tasks
+    times ``keep``, not with the keys, in any partition where a few keys stand out.
     """
     hot = hotspots.select("topic", "partition").distinct()
-    counts = (
-        records.join(hot, ["topic", "partition"], "left_semi")
-        .groupBy("topic", "partition", "key")
-        .agg(F.count(F.lit(1)).alias("messages"))
+    rows = records.join(hot, ["topic", "partition"], "left_semi").select("topic", "partition", "key")
+    tops, schema = _local_tops(keep or 8 * k, rows.schema["key"].dataType.simpleString())
+    sketch = rows.mapInPandas(tops, schema)
+    limit = sketch.where("left").groupBy("topic", "partition").agg(F.sum("n").alias("unseen"))
+    named = sketch.where("NOT left").select("topic", "partition", "key").distinct()
+    order = Window.partitionBy("topic", "partition").orderBy(F.desc("messages"), "key")
+
+    def ranked(counts: DataFrame) -> DataFrame:
+        return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+    same = (rows["topic"] == named["topic"]) & (rows["partition"] == named["partition"]) & rows["key"].eqNullSafe(named["key"])
+    exact = ranked(rows.join(named, same, "left_semi").groupBy("topic", "partition", "key").agg(F.count(F.lit(1)).alias("messages")))
+    kth = exact.groupBy("topic", "partition").agg(F.count("*").alias("found"), F.min("messages").alias("least"))
+    sure = kth.join(limit, ["topic", "partition"], "left").where(
+        F.col("unseen").isNull() | ((F.col("found") == k) & (F.col("least") > F.col("unseen")))
+    ).select("topic", "partition")
+    unsure = hot.join(sure, ["topic", "partition"], "left_anti")
+    whole = ranked(
+        rows.join(unsure, ["topic", "partition"], "left_semi").groupBy("topic", "partition", "key").agg(F.count(F.lit(1)).alias("messages"))
     )
-    w = Window.partitionBy("topic", "partition").orderBy(F.desc("messages"), "key")
-    return counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    return exact.join(sure, ["topic", "partition"], "left_semi").unionByName(whole)
 
 
 # ---------------------------------------------------------------- replicas and leaders

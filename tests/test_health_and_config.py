@@ -168,3 +168,25 @@ def test_newest_snapshots_keep_the_one_they_are_compared_with(spark):
     part = {r.snapshot_at: r.change_delta for r in config_history.config_table(config_history.newest_snapshots(snaps, 3)).collect()}
     newest = sorted(whole)[-3:]
     assert len(part) == 4 and [part[k] for k in newest] == [whole[k] for k in newest]
+
+
+def test_hot_keys_exact_through_task_sketches(spark):
+    import random
+    from collections import Counter
+
+    from lagscope.operators import health
+
+    rnd = random.Random(5)
+    rows = [("skewed", 0, rnd.choice([1, 1, 1, 2, 2, 3]) if rnd.random() < 0.7 else rnd.randint(4, 400)) for _ in range(3000)]
+    rows += [("flat", 1, rnd.randint(0, 60)) for _ in range(2000)]
+    rows += [("flat", 1, None)] * 90 + [("few", 2, 7)] * 3 + [("cold", 3, 1)] * 50
+    records = spark.createDataFrame(rows, "topic string, partition int, key long").repartition(7)
+    hotspots = spark.createDataFrame([("skewed", 0), ("flat", 1), ("few", 2), ("few", 2)], "topic string, partition int")
+    expected = []
+    for part in (("skewed", 0), ("flat", 1), ("few", 2)):
+        c = Counter(r[2] for r in rows if r[:2] == part)
+        best = sorted(c.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[:4]
+        expected += [(*part, key, n, i + 1) for i, (key, n) in enumerate(best)]
+    for keep in (2, 4, 1000):
+        got = health.hot_keys(records, hotspots, k=4, keep=keep).select("topic", "partition", "key", "messages", "position").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
