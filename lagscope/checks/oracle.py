@@ -449,6 +449,12 @@ _plain["lag_acceleration"] = """
 SELECT snapshotted_at, group_id, topic, round(v, 6) AS lag_velocity_per_min, round(pv, 6) AS previous_velocity, round(v - pv, 6) AS acceleration,
   CASE WHEN pv IS NULL THEN 'UNKNOWN' WHEN v <= 0 THEN 'NOT_GROWING' WHEN v >= pv THEN 'ACCELERATING' ELSE 'DECELERATING' END AS trend
 FROM (SELECT *, lag(v) OVER (PARTITION BY group_id, topic ORDER BY h) AS pv FROM x_vel)"""
+_plain["lag_trend"] = """
+SELECT snapshotted_at, group_id, topic, total_lag, round(s, 6) AS lag_slope_per_min, n AS trend_points, round(ps, 6) AS previous_slope,
+  round(s - ps, 6) AS slope_change
+FROM (SELECT *, lag(s) OVER (PARTITION BY group_id, topic ORDER BY h) AS ps FROM (
+  SELECT *, CASE WHEN count(*) OVER w >= 2 THEN regr_slope(total_lag, h * 60.0) OVER w END AS s, count(*) OVER w AS n FROM x_topic
+  WINDOW w AS (PARTITION BY group_id, topic ORDER BY h RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)))"""
 _plain["simultaneous_lag"] = """
 SELECT snapshotted_at, count(DISTINCT group_id) AS rising_groups, count(DISTINCT topic) AS rising_topics, sum(total_lag)::BIGINT AS rising_lag
 FROM x_vel WHERE v > 0 GROUP BY 1 HAVING count(DISTINCT group_id) >= 2 AND count(DISTINCT topic) >= 2"""

@@ -363,6 +363,36 @@ def lag_acceleration(with_v: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame
     )
 
 
+def lag_trend(topics: DataFrame, cfg: Thresholds = DEFAULTS, window_seconds: int = 600) -> DataFrame:
+    """Least-squares slope of a topic's total lag, in messages per minute, over the snapshots of the
+    last ``window_seconds`` (the snapshot itself included), and its change since the snapshot
+    before within the history period.
+
+    The slope is ``regr_slope`` over a range frame, so a trend of many samples is not one
+    difference of two; fewer than two samples in the window give null. Each (group, topic) is cut
+    in time slices first, so no key is one task.
+    """
+    span = int(window_seconds * 1_000_000)
+    minutes = F.col("_us") / F.lit(60_000_000.0)
+
+    def fitted(w):
+        frame = w.rangeBetween(-span, 0)
+        return {
+            "lag_slope_per_min": F.regr_slope(F.col("total_lag").cast("double"), minutes).over(frame),
+            "trend_points": F.count(F.lit(1)).over(frame),
+        }
+
+    keys = ["group_id", "topic"]
+    out = trailing(topics, keys, "snapshotted_at", window_seconds, cfg.bucket_seconds, fitted)
+    period = int(cfg.history_seconds * 1_000_000)
+
+    def before(w):
+        return {"previous_slope": F.last("lag_slope_per_min").over(w.rangeBetween(-period, -1))}
+
+    out = trailing(out, keys, "snapshotted_at", cfg.history_seconds, cfg.bucket_seconds, before)
+    return out.withColumn("slope_change", F.col("lag_slope_per_min") - F.col("previous_slope"))
+
+
 def simultaneous_lag(with_v: DataFrame, min_groups: int = 2, min_topics: int = 2) -> DataFrame:
     """Snapshots at which several groups over several topics have rising lag."""
     return (

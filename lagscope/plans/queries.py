@@ -379,6 +379,13 @@ def lag_acceleration(i):
     )
 
 
+@query
+def lag_trend(i):
+    return lag.lag_trend(i.topics(), HOURLY, window_seconds=6 * HOUR).select(
+        *lag.SNAPSHOT, "total_lag", "lag_slope_per_min", "trend_points", "previous_slope", "slope_change"
+    )
+
+
 @query
 def simultaneous_lag(i):
     return lag.simultaneous_lag(i.velocity())

@@ -269,3 +269,19 @@ def test_snapshots_cover_all_hours_of_the_events(spark):
     assert got.count() == hours * 4 * 2
     end = got.filter("topic = 'view-0' and partition = 1 and group_id = 'g0'").agg(F.max("log_end_offset")).first()[0]
     assert end == 2 * 101
+
+
+def test_lag_trend_is_a_least_squares_slope(spark):
+    from lagscope.operators import lag as L
+
+    rows = [("g", "t", f"2024-01-01 00:{m:02d}:00", 100 + 30 * m + (5 if m == 4 else 0)) for m in range(0, 10, 2)]
+    rows += [("g", "u", "2024-01-01 00:00:00", 7)]
+    topics = spark.createDataFrame(rows, "group_id string, topic string, snapshotted_at string, total_lag long").withColumn(
+        "snapshotted_at", F.col("snapshotted_at").cast("timestamp")
+    )
+    got = {(r.topic, r.snapshotted_at.minute): r for r in L.lag_trend(topics, window_seconds=300).collect()}
+    assert got[("u", 0)].lag_slope_per_min is None and got[("t", 0)].lag_slope_per_min is None
+    assert got[("t", 2)].lag_slope_per_min == pytest.approx(30.0)
+    # 00:00 is 6 minutes before 00:06, outside the 5-minute window: three samples, 2, 4 and 6.
+    assert got[("t", 6)].trend_points == 3 and got[("t", 6)].lag_slope_per_min == pytest.approx(30.0)
+    assert got[("t", 4)].slope_change == pytest.approx(got[("t", 4)].lag_slope_per_min - 30.0)
