@@ -20,8 +20,10 @@ distance starts at ``V |b_s - b_s'|`` and only the terms a group uses correct it
 a dense accumulator over the language's sources: for its own terms against the peers' baselines
 (a sorted sweep and prefix sums, one per row), and through the term-major index of the block for
 the peers that share a term. Each block sends at most sources^2 partial sums per language, which
-Spark adds up. Counting terms is one scan with map-side aggregation; a source holding a third of
-all rows is one group of at most V postings, dealt over blocks like any other.
+Spark adds up. Counting terms is one scan with map-side aggregation and one shuffle by term, after
+which only the kept terms' counts are written to the shared folder for all later branches; a
+source holding a third of all rows is one group of at most V postings, and a language with most
+postings is dealt over as many blocks as its share asks.
 
 Null text, lang or source: ''. Empty and very long texts are read whole. Repeated rows count
 every time. Ties in rank: UTF-8 item ascending. A language whose groups have no kept term:
@@ -36,14 +38,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagscope.session import store
+
 # The term pattern, threshold, smoothing and scale of the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what parts terms
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
+POSTINGS_PER_BLOCK = 50_000  # postings a task of the accumulation holds, about
+TOP_BLOCKS = 16  # the first TOP of a group are kept per block of terms before they meet
 
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
@@ -57,18 +64,20 @@ def _share(count: str, total: str, vocabulary: str) -> F.Column:
 def term_counts(documents: DataFrame) -> DataFrame:
     """``lang, source, term, cnt, docs``: occurrences of each term in a group, and rows holding it.
 
-    Each row's terms are sorted inside the JVM, so the first of a run marks the row once."""
+    A text is split at runs of the characters that are not in terms; its terms are sorted inside
+    the JVM and counted per run of equal ones, so each row sends one row per distinct term."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    marked = F.expr("transform(s, (x, i) -> named_struct('t', x, 'first', CASE WHEN i = 0 OR s[i - 1] <> x THEN 1 ELSE 0 END))")
+    terms = F.array_sort(F.filter(F.split(text, GAP), lambda x: x != ""))
+    starts = F.expr("CASE WHEN size(s) = 0 THEN array() ELSE filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1]) END")
+    runs = F.expr("transform(r, (p, j) -> named_struct('t', s[p], 'n', coalesce(get(r, j + 1), size(s)) - p))")
     return (
         documents.select(
-            F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-            F.coalesce(F.col("source"), F.lit("")).alias("source"),
-            F.array_sort(F.regexp_extract_all(text, F.lit(TERM), 0)).alias("s"),
+            F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"), terms.alias("s")
         )
-        .select("lang", "source", F.explode(marked).alias("e"))
+        .select("lang", "source", "s", starts.alias("r"))
+        .select("lang", "source", F.explode(runs).alias("e"))
         .groupBy("lang", "source", F.col("e.t").alias("term"))
-        .agg(F.count("*").alias("cnt"), F.sum("e.first").alias("docs"))
+        .agg(F.sum("e.n").alias("cnt"), F.count("*").alias("docs"))
     )
 
 
@@ -120,14 +129,17 @@ def _accumulate(rows: pd.DataFrame) -> pd.DataFrame:
 def source_divergence(documents: DataFrame, blocks: int | None = None) -> DataFrame:
     """``lang, source, part, item, value, rank``: the two parts described in the module text.
 
-    ``blocks``: term blocks per language for the accumulation (default: the session's shuffle
-    partitions), so a block holds a share of the postings that does not grow with languages."""
-    spark = documents.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = term_counts(documents)
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("cnt").alias("cnt")).where(F.col("docs") >= MIN_DOCS)
+    ``blocks``: term blocks per language for the accumulation (default: one per
+    ``POSTINGS_PER_BLOCK`` postings), so a task holds a bounded share of the postings and the
+    partial sums grow with the postings, not with the cluster."""
+    # One shuffle of all terms: a term's rows (one per source) meet, and only kept terms are written.
+    spread = Window.partitionBy("lang", "term")
+    used = store(
+        term_counts(documents).withColumn("_docs", F.sum("docs").over(spread)).where(F.col("_docs") >= MIN_DOCS).select("lang", "source", "term", "cnt"),
+        "kept-term-counts",
+    )
+    kept = used.groupBy("lang", "term").agg(F.sum("cnt").alias("cnt"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("vocab"), F.sum("cnt").alias("total"))
-    used = counts.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "cnt")
     groups = (
         documents.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
         .distinct()
@@ -139,6 +151,8 @@ def source_divergence(documents: DataFrame, blocks: int | None = None) -> DataFr
     )
     postings = used.join(groups, ["lang", "source"]).select("lang", "source", "term", "a", "cnt", _share("cnt", "total", "vocab").alias("p"))
     own = sizes.select("lang", "vocab", "total")
+    if blocks is None:
+        blocks = max(1, -(-postings.count() // POSTINGS_PER_BLOCK))
     language = kept.join(own, "lang").select("lang", "term", _share("cnt", "total", "vocab").alias("q"))
 
     over = (
@@ -148,7 +162,7 @@ def source_divergence(documents: DataFrame, blocks: int | None = None) -> DataFr
     )
     within = Window.partitionBy("lang", "source", "block").orderBy(F.desc("value"), "item")
     terms = (
-        over.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+        over.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(TOP_BLOCKS)))
         .withColumn("rank", F.row_number().over(within))
         .where(F.col("rank") <= TOP)  # the first TOP of every block hold the first TOP of the group
         .drop("block", "rank")
