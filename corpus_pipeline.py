@@ -1,10 +1,14 @@
 """A corpus pipeline of the operators in ``lagscope.llm``.
 
 Each stage takes the documents that the one before it kept, and returns the columns of ``documents``; the last
-returns token ids. The classifier drops what it rejects; of near-duplicates the row with the smallest doc_id stays (a
+returns token ids. The classifier drops what it rejects; of each class of SimHash near-duplicates (operator 8) the row with the smallest doc_id stays (a
 null id only if there is no other; of rows with one doc_id, the one whose text hashes least); repeated
 passages are taken out of texts and ``n_chars`` is counted anew; documents that hold a benchmark item are dropped; the
 rest is encoded, and read back.
+
+Null texts are empty texts in every stage (they have no words, no repeated passage and no benchmark item);
+an empty table gives empty stages; columns of ``documents`` beyond doc_id and text pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagscope.llm.decontamination import clean
-from lagscope.llm.near_copies import one_near_copy
 from lagscope.llm.quality_classifier import good
 from lagscope.llm.queries import small_arrow_batches, tokenizer_file
 from lagscope.llm.sentencepiece_fst import encode_documents
+from lagscope.llm.simhash_dedup import one_of_each
 from lagscope.llm.suffix_dedup import deduplicated
 from lagscope.session import store
 
@@ -30,9 +34,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five words, a similarity of 0.8, not operator 8's fingerprints."""
+    """Operator 8: one document of each class of SimHash fingerprints of 3-word shingles linked at two
+    bits or fewer, the contract's parameters; no word-similarity check beside the bit distance."""
     small_arrow_batches(spark)
-    return one_near_copy(docs)
+    return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,12 @@ def test_decisions_take_effect(spark, small, stages):
 def test_run_is_all_stages(spark, small, stages):
     got = {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, small).collect()}
     assert got == {(r.doc_id, tuple(r.ids)) for r in stages[-1].collect()}
+
+
+def test_near_copies_are_operator_8s_classes(spark, stages):
+    from lagscope.llm.simhash_dedup import simhash_classes
+
+    rated, single = stages[1], stages[2]
+    classes = {r.doc_id: r.component_id for r in simhash_classes(rated).collect()}
+    kept = [r.doc_id for r in single.select("doc_id").collect()]
+    assert sorted(classes[d] for d in kept) == sorted(set(classes.values()))
