@@ -336,10 +336,15 @@ def katz_scores(docs: DataFrame, chunk_bytes: int = CHUNK, hot: int = HOT, hot_s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["docs"], buckets).know(row["words"])
-                n, seen, base, score = chunk.score(uni, d, least, row["cold"], row["warm"], hot_numbers, hot_contexts)
+            # One chunk at a time: its payloads become Python bytes only while it is scored.
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                chunk = Chunk(row.pop("docs"), buckets).know(row.pop("words"))
+                n, seen, base, score = chunk.score(uni, d, least, row.pop("cold"), row.pop("warm"), hot_numbers, hot_contexts)
+                del chunk
                 arrays = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(seen), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)]
+                del row
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del batch
 
     return whole.select("docs", "ids", "held", "words", "cold", "warm").mapInArrow(run, SCORES)
