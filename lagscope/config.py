@@ -58,7 +58,9 @@ class Thresholds:
     """Every tunable of the lag, health and alert operators, with the usual defaults.
 
     ``bucket_seconds`` is not part of any result: it is the length of the time slices
-    that windows are split into, so that one busy key is spread over many tasks.
+    that windows are split into, so that one busy key is spread over many tasks. Nor is
+    ``shuffle_tasks``: the number of tasks that whole rows are dealt to, for more rows than the
+    session's shuffle partitions can take (``session.tasks_for``).
     """
 
     stall_seconds: int = 600
@@ -83,6 +85,7 @@ class Thresholds:
     dedup_ttl_seconds: int = 600
     drop_zero_lag_history: bool = False
     bucket_seconds: int = 86_400
+    shuffle_tasks: int | None = None
 
 
 DEFAULTS = Thresholds()

@@ -10,7 +10,9 @@ every key into time buckets and shuffle on (key, bucket):
   Each bucket is first summed up in one row; a window over those few rows finds what every
   bucket has to start from, and a join on (key, bucket) brings it back.
 
-Both give exactly the rows of the plain window. The bucket length changes speed only.
+Both give exactly the rows of the plain window. The bucket length changes speed only, and so does
+``tasks``, the number of tasks that the rows of ``runs`` and ``previous`` are dealt to by (key,
+bucket); where it is left out, the session's setting decides.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ def slice_of(ts: str, seconds: int, shift_us: int = 0) -> Column:
     )
 
 
+def _dealt(sliced: DataFrame, keys: Sequence[str], tasks: int | None) -> DataFrame:
+    return sliced.repartition(tasks, *keys, "_slice") if tasks else sliced
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,13 +73,14 @@ def runs(
     ts: str,
     value: str,
     bucket_seconds: int,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``run_start`` (time of the first row of the current run of equal values) and
     ``run_open`` (true while no change has been seen since the first row of the key).
 
     ``value`` must not be null and ``ts`` must be unique per key.
     """
-    sliced = df.withColumn("_slice", slice_of(ts, bucket_seconds))
+    sliced = _dealt(df.withColumn("_slice", slice_of(ts, bucket_seconds)), keys, tasks)
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
     before = F.lag(value).over(inside)
     marked = sliced.withColumn(
@@ -127,9 +134,10 @@ def previous(
     ts: str,
     columns: Sequence[str],
     bucket_seconds: int,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<column>`` for each column: its value on the row before, however long ago."""
-    sliced = df.withColumn("_slice", slice_of(ts, bucket_seconds))
+    sliced = _dealt(df.withColumn("_slice", slice_of(ts, bucket_seconds)), keys, tasks)
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
     per_slice = sliced.groupBy(*keys, "_slice").agg(
         F.max_by(F.struct(*df.columns), ts).alias("_last_row")

@@ -158,7 +158,7 @@ def partition_rates(snapshots: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFra
     )
     paired = previous(
         ends, ["topic", "partition"], "snapshotted_at",
-        ["log_end_offset", "snapshotted_at"], cfg.bucket_seconds,
+        ["log_end_offset", "snapshotted_at"], cfg.bucket_seconds, cfg.shuffle_tasks,
     ).filter("prev_snapshotted_at is not null")
     grown = F.col("log_end_offset") - F.col("prev_log_end_offset")
     increase = F.when(grown < 0, F.col("log_end_offset")).otherwise(grown)

@@ -80,16 +80,20 @@ def with_last_commit(snapshots: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFr
     """Fill ``last_commit_at`` with the latest time the committed offset was seen to change;
     null until a change has been seen. The first commit of a group, from no offset to one, is a
     change too, so the offset is compared inside a struct, which is never null."""
+    kept = [c for c in snapshots.columns if c != "last_commit_at"]
     marked = runs(
-        snapshots.drop("last_commit_at").withColumn("_offset", F.struct("committed_offset")),
+        snapshots.select(
+            *[c for c in kept if c != "committed_offset"], F.struct("committed_offset").alias("_offset")
+        ),
         SERIES,
         "snapshotted_at",
         "_offset",
         cfg.bucket_seconds,
+        cfg.shuffle_tasks,
+    )
+    return marked.withColumn("committed_offset", F.col("_offset.committed_offset")).select(
+        *kept, F.when(~F.col("run_open"), F.col("run_start")).alias("last_commit_at")
     )
-    return marked.withColumn(
-        "last_commit_at", F.when(~F.col("run_open"), F.col("run_start"))
-    ).drop("run_start", "run_open", "_offset")
 
 
 def stalled_partitions(lags: DataFrame) -> DataFrame:
@@ -413,7 +417,7 @@ def catch_up(topics: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     needed = topics.select(*SNAPSHOT, "total_lag", "committed_total", "log_end_total")
     out = previous(
         needed, ["group_id", "topic"], "snapshotted_at",
-        ["snapshotted_at", "committed_total", "log_end_total"], cfg.bucket_seconds,
+        ["snapshotted_at", "committed_total", "log_end_total"], cfg.bucket_seconds, cfg.shuffle_tasks,
     )
     minutes = (micros("snapshotted_at") - micros("prev_snapshotted_at")) / 60_000_000
     consumed = (F.col("committed_total") - F.col("prev_committed_total")) / minutes

@@ -108,7 +108,7 @@ def alert_states(
     held without a break for ``for_seconds``. ``active_since`` is the first sample of the
     unbroken stretch."""
     marked = series.withColumn("_active", F.coalesce(condition, F.lit(False)))
-    out = runs(marked, list(labels), ts, "_active", cfg.bucket_seconds)
+    out = runs(marked, list(labels), ts, "_active", cfg.bucket_seconds, cfg.shuffle_tasks)
     held = micros(ts) - micros("run_start")
     state = (
         F.when(~F.col("_active"), "inactive")

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
+from ..config import DEFAULTS, Thresholds
 from ..functions.columns import snapshot_id, stable_id
 from ..operators import (
     config_history,
@@ -88,7 +88,12 @@ class Inputs:
         return D.table(self.spark, self.dir, name)
 
     def snapshots(self) -> DataFrame:
-        return D.lag_snapshots(self.table("events"))
+        return D.lag_snapshots(self.table("events"), tasks=self.hourly.shuffle_tasks)
+
+    @cached_property
+    def hourly(self) -> Thresholds:
+        """``HOURLY``, with tasks for as many snapshots as there are."""
+        return replace(HOURLY, shuffle_tasks=D.snapshot_tasks(self.table("events")))
 
     def lags(self) -> DataFrame:
         return lag.lag_by_partition(self.snapshots(), cfg=HOURLY)
@@ -125,7 +130,7 @@ class Inputs:
 
     def rates(self) -> DataFrame:
         # Read by the totals, the shares and the hotspots.
-        return store(health.partition_rates(self.snapshots(), HOURLY), "rates")
+        return store(health.partition_rates(self.snapshots(), self.hourly), "rates")
 
     def hotspots(self, rates: DataFrame | None = None) -> DataFrame:
         return health.partition_hotspots(self.rates() if rates is None else rates)
@@ -146,7 +151,7 @@ class Inputs:
         return D.class_query_vectors(self.table("embeddings"))
 
     def cycle(self):
-        return lag_cycle(self.snapshots(), self.meta(), HOURLY, HOUR)
+        return lag_cycle(self.snapshots(), self.meta(), self.hourly, HOUR)
 
     def cycle_hits(self, worst: DataFrame) -> tuple[DataFrame, DataFrame]:
         q = self.class_queries()
@@ -369,7 +374,9 @@ def groups_monitored(i):
 
 @query
 def last_commit_at(i):
-    return lag.with_last_commit(i.snapshots(), HOURLY).select(*lag.SERIES, "snapshotted_at", "last_commit_at")
+    # Only what is returned, so that both branches of the operator read the same rows.
+    offsets = i.snapshots().select(*lag.SERIES, "snapshotted_at", "committed_offset")
+    return lag.with_last_commit(offsets, i.hourly).select(*lag.SERIES, "snapshotted_at", "last_commit_at")
 
 
 @query
@@ -393,12 +400,12 @@ def simultaneous_lag(i):
 
 @query
 def catch_up_minutes(i):
-    return lag.catch_up(i.topics(), HOURLY)
+    return lag.catch_up(i.topics(), i.hourly)
 
 
 @query
 def lag_escalations(i):
-    return metrics.lag_escalations(i.velocity(), HOURLY).select(
+    return metrics.lag_escalations(i.velocity(), i.hourly).select(
         *lag.SNAPSHOT, "total_lag", "lag_velocity_per_min", "active_since"
     )
 
@@ -770,17 +777,17 @@ def unhealthy_partitions(i):
 @query
 def alert_states(i):
     series = metrics.lag_sum_series(i.lags())
-    return metrics.alert_states(series, F.col("value") > 10_000, 5 * HOUR, ["group_id", "topic"], cfg=HOURLY)
+    return metrics.alert_states(series, F.col("value") > 10_000, 5 * HOUR, ["group_id", "topic"], cfg=i.hourly)
 
 
 @query
 def alert_lag_high(i):
-    return metrics.alert_lag_high(metrics.lag_sum_series(i.lags()), 5 * HOUR, HOURLY)
+    return metrics.alert_lag_high(metrics.lag_sum_series(i.lags()), 5 * HOUR, i.hourly)
 
 
 @query
 def alert_lag_critical(i):
-    return metrics.alert_lag_critical(metrics.lag_sum_series(i.lags()), 2 * HOUR, HOURLY)
+    return metrics.alert_lag_critical(metrics.lag_sum_series(i.lags()), 2 * HOUR, i.hourly)
 
 
 @query

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ROWS_PER_TASK = 500_000
 
 
 def build_session(app: str = "lagscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,6 +35,14 @@ def build_session(app: str = "lagscope", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK) -> int | None:
+    """Tasks for a shuffle of so many rows, where the session's shuffle partitions would get more than
+    ``rows_per_task`` each; else none. What a task sorts then stays the same size when the input
+    grows and the setting does not."""
+    tasks = -(-rows // rows_per_task)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def working_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the folder the cluster shares between its machines.
 

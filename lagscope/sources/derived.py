@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks_for
+
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 HOUR_US = 3_600_000_000
 USERS_PER_TOPIC = 64
+SNAPSHOTS_PER_TASK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +39,25 @@ def topic_of_event(users_per_topic: int | None = USERS_PER_TOPIC) -> F.Column:
     return F.concat_ws("-", "event_type", F.expr(f"user_id div {users_per_topic}"))
 
 
-def lag_snapshots(events: DataFrame, users_per_topic: int | None = USERS_PER_TOPIC) -> DataFrame:
+def snapshot_tasks(events: DataFrame, users_per_topic: int | None = USERS_PER_TOPIC) -> int | None:
+    """Tasks for the rows of ``lag_snapshots``, where they are too many for the session's setting."""
+    series = F.struct(topic_of_event(users_per_topic), F.col("user_id") % 8)
+    h = _hour_of("ts")
+    n, hours = events.agg(F.approx_count_distinct(series), F.max(h) - F.min(h) + 1).first()
+    return tasks_for(events.sparkSession, 4 * n * (hours or 0), SNAPSHOTS_PER_TASK)
+
+
+def lag_snapshots(
+    events: DataFrame, users_per_topic: int | None = USERS_PER_TOPIC, tasks: int | None = None
+) -> DataFrame:
     """Hourly offset snapshots of four consumer groups with known behaviour, from the first hour
     with an event to the last.
 
     g0 keeps up; g1 is three hours late; g2 stops for the last 12 of every 48 hours; g3 is an
     hour late and has partition 0 stuck from hour 240 on. Every (topic, partition) is cheap to
     lay out: hourly sums first, then the gaps between them are filled from the next row.
+
+    ``tasks`` (see ``snapshot_tasks``) are as many as the session's shuffle partitions if left out.
     """
     hourly = (
         events.select(
@@ -59,7 +74,7 @@ def lag_snapshots(events: DataFrame, users_per_topic: int | None = USERS_PER_TOP
     span = events.select(_hour_of("ts").alias("h")).agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     hourly = hourly.crossJoin(F.broadcast(span))
     # Few small rows become many below, so adaptive execution must not merge these partitions.
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("topic", "partition")
     sparse = hourly.repartition(parts, "topic", "partition").select(
         "*",

@@ -271,6 +271,35 @@ def test_snapshots_cover_all_hours_of_the_events(spark):
     assert end == 2 * 101
 
 
+def some_events(spark, folder):
+    events = spark.range(600).select(
+        F.col("id").alias("event_id"), (F.col("id") * 37 % 800).alias("user_id"), F.lit("view").alias("event_type"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 977 % 180_000).alias("ts"), F.lit(0.5).alias("value"),
+    )
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_tasks_of_last_commit_follow_the_snapshots(spark, tmp_path, monkeypatch):
+    from lagscope.plans.queries import REGISTRY
+    from lagscope.sources import derived
+
+    folder = some_events(spark, tmp_path)
+
+    def run(name):
+        out = REGISTRY[name](spark, folder)
+        return sorted(map(str, out.collect())), out.select(F.spark_partition_id()).distinct().count()
+
+    names = ["last_commit_at", "catch_up_minutes"]
+    few = [run(n) for n in names]
+    monkeypatch.setattr(derived, "SNAPSHOTS_PER_TASK", 500)
+    for name, (rows_before, tasks_before) in zip(names, few, strict=True):
+        rows_after, tasks_after = run(name)
+        assert rows_after == rows_before and rows_after
+        if name == "last_commit_at":
+            assert tasks_before <= 4 < 12 < tasks_after
+
+
 def test_lag_trend_is_a_least_squares_slope(spark):
     from lagscope.operators import lag as L
 
