@@ -468,13 +468,15 @@ def reset_impact(lags: DataFrame, targets: DataFrame | None = None) -> DataFrame
 
     ``targets`` has (group_id, target_at): reset to the end offset as of that time. Without it
     the reset is to the latest end. The committed offset is the newest one seen. Both lookups
-    are one aggregation with a fixed-size buffer, so no partition history is gathered.
+    are one aggregation with a fixed-size buffer, so no partition history is gathered. The
+    targets, one for each reset, go to every task: a shuffle by group would put all rows of a
+    group into one.
     """
     if targets is None:
         joined = lags.withColumn("target_at", F.lit(None).cast("timestamp"))
         reached = F.lit(True)
     else:
-        joined = lags.join(targets, "group_id")
+        joined = lags.join(F.broadcast(targets), "group_id")
         reached = F.col("snapshotted_at") <= F.col("target_at")
     at = F.when(reached, F.col("snapshotted_at"))
     found = joined.groupBy(*SERIES, "target_at").agg(

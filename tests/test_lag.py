@@ -205,6 +205,22 @@ def test_reset_impact(spark):
     assert lag.reset_impact(lags, targets).first().skipped_offsets == 21
 
 
+def test_reset_impact_shuffles_no_rows_by_group(spark, capsys):
+    df = snapshot_rows(spark, [(g, t, p, 4, 9 + m, None, m) for g in "ab" for t in "xy" for p in range(3) for m in range(4)])
+    lags = lag.lag_by_partition(df)
+    targets = lags.groupBy("group_id").agg((F.max("snapshotted_at") - F.expr("interval 2 minutes")).alias("target_at"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lag.reset_impact(lags, targets)
+        assert rows(out, "skipped_offsets") == [(6,)] * 12
+        out.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_recent_history(spark):
     lags = lag.lag_by_partition(series(spark, [(0, 1), (10, 2), (30, 3), (31, 4)]))
     assert rows(lag.recent_lag_history(lags, 30), "lag") == [(2,), (3,), (4,)]
