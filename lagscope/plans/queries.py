@@ -192,7 +192,9 @@ def analysis_insert_ignore(i):
     a = i.analyses()
     stored = a.filter("triggered_by = 'THRESHOLD_BREACH'")
     again = a.withColumn("analyzed_at", F.expr("analyzed_at + interval 1 day"))
-    return sinks.insert_ignore(a.unionByName(again), stored, "analysis_id", ["analyzed_at"])
+    return sinks.insert_ignore(
+        a.unionByName(again), stored, "analysis_id", ["analyzed_at"], size=2 * i.table("orders").count()
+    )
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ANALYSIS_TOPIC, RECOMMENDATION_TOPIC
+from ..session import tasks_for
 
 
 def append_snapshots(snapshots: DataFrame, path: str, files_per_day: int = 8) -> None:
@@ -25,10 +26,18 @@ def append_snapshots(snapshots: DataFrame, path: str, files_per_day: int = 8) ->
 
 
 def insert_ignore(
-    new: DataFrame, existing: DataFrame, keys: str | Sequence[str], order: Sequence[str]
+    new: DataFrame, existing: DataFrame, keys: str | Sequence[str], order: Sequence[str],
+    size: int | None = None,
 ) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet; the first by ``order`` of each key."""
+    """Rows of ``new`` whose key is not stored yet; the first by ``order`` of each key.
+
+    ``size`` is the number of rows of ``new``, where known: rows are dealt by key to as many tasks
+    as they ask for, and the join and the aggregation sort them there.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    tasks = tasks_for(new.sparkSession, size) if size is not None else None
+    if tasks:
+        new, existing = (t.repartition(tasks, *keys) for t in (new, existing))
     fresh = new.join(existing.select(*keys), keys, "left_anti")
     others = [c for c in new.columns if c not in keys]
     first = fresh.groupBy(*keys).agg(

@@ -168,7 +168,7 @@ def start_analysis_sinks(
                 # An id stands for one point in time, so older files cannot hold it.
                 start = batch.agg(F.min("analyzed_at")).first()[0]
                 stored = stored.filter(F.col("analyzed_at") >= F.lit(start))
-            new = sinks.insert_ignore(batch, stored, keys, ["analyzed_at"])
+            new = sinks.insert_ignore(batch, stored, keys, ["analyzed_at"], size=batch.count())
             _write(sinks.with_reference_ids(new), analyses, number)
             mine = spark.read.parquet(f"{analyses}/batch={number}")
             listed = mine.select("analysis_id", F.col("analyzed_at").alias("created_at"), F.posexplode("recommendations").alias("_place", "r"))

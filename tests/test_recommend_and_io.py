@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lagscope import schemas
+from lagscope import schemas, session
 from lagscope.operators import recommend
 from lagscope.plans.cycle import lag_cycle
 from lagscope.sources import readers, sinks
@@ -123,10 +123,18 @@ def test_poison_messages(spark):
     assert rows(readers.poison_messages(msgs, stuck), "offset", "reason") == [(1, "malformed JSON"), (2, "missing value"), (3, "oversized")]
 
 
-def test_insert_ignore_and_upsert(spark):
+def test_insert_ignore_and_upsert(spark, monkeypatch):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1), ("c", 1)], "id string, n int")
     old = spark.createDataFrame([("b", 9)], "id string, n int")
     assert rows(sinks.insert_ignore(new, old, "id", ["n"]), "id", "n") == [("a", 1), ("c", 1)]
+    many = spark.range(2_000).selectExpr("cast(id % 1000 as string) as id", "cast(id as int) as n", "repeat('v', 20) as v")
+    held = many.filter("id < 100")
+    plain = rows(sinks.insert_ignore(many, held, "id", ["n"]), "id", "n", "v")
+    with monkeypatch.context() as patch:
+        patch.setattr(session.tasks_for, "__defaults__", (100,))
+        dealt = sinks.insert_ignore(many, held, "id", ["n"], size=2_000)
+        assert rows(dealt, "id", "n", "v") == plain and len(plain) == 900
+        assert dealt.select(F.spark_partition_id()).distinct().count() == 20
     stored = spark.createDataFrame([(1, "x", 5), (2, "y", 1)], "id int, v string, version int")
     fresh = spark.createDataFrame([(1, "z", 4), (2, "w", 1), (3, "n", 0)], "id int, v string, version int")
     assert rows(sinks.vector_upsert(stored, fresh), "id", "v") == [(1, "x"), (2, "w"), (3, "n")]
