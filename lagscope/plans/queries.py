@@ -844,6 +844,8 @@ def poison_messages(i):
 # the future moves the watermark past all others; it is taken out again.
 
 FLUSH = "2100-01-01 00:00:00"
+#: Rows of a stored file: readers fill a task by bytes, and these rows take very few.
+ROWS_PER_FILE = 250_000
 
 
 def _streamed(i: Inputs, table: DataFrame, ts: str, flush: dict, transform) -> DataFrame:
@@ -855,7 +857,7 @@ def _streamed(i: Inputs, table: DataFrame, ts: str, flush: dict, transform) -> D
         ]
     )
     source, target, state = (working_dir(i.spark, f"stream-{n}") for n in ("input", "output", "state"))
-    table.unionByName(row).write.parquet(source)
+    table.unionByName(row).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(source)
     out = transform(readers.stream_table(i.spark, source, table.schema))
     jobs.start_table(out, target, state).trigger(availableNow=True).start().awaitTermination()
     return i.spark.read.schema(out.schema).parquet(target)

@@ -73,10 +73,11 @@ def lag_snapshots(
     # One row, known before the others are laid out.
     span = events.select(_hour_of("ts").alias("h")).agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     hourly = hourly.crossJoin(F.broadcast(span))
-    # Few small rows become many below, so adaptive execution must not merge these partitions.
+    # Few small rows become many below, so adaptive execution must not merge these partitions. All
+    # partitions of a topic (eight at most) go to one task, so that totals by topic combine there.
     parts = tasks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("topic", "partition")
-    sparse = hourly.repartition(parts, "topic", "partition").select(
+    sparse = hourly.repartition(parts, "topic").select(
         "*",
         F.sum("m").over(w.orderBy("h")).alias("total"),
         F.lead("h", 1).over(w.orderBy("h")).alias("next_h"),

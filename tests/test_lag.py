@@ -316,6 +316,15 @@ def test_tasks_of_last_commit_follow_the_snapshots(spark, tmp_path, monkeypatch)
             assert tasks_before <= 4 < 12 < tasks_after
 
 
+def test_a_topic_is_laid_out_in_one_task(spark, tmp_path):
+    from lagscope.sources import derived
+
+    events = spark.read.parquet(some_events(spark, tmp_path) + "/events.parquet")
+    got = derived.lag_snapshots(events, tasks=7).select("topic", "partition", F.spark_partition_id().alias("task"))
+    spread = got.groupBy("topic").agg(F.countDistinct("task").alias("tasks"), F.countDistinct("partition").alias("n")).collect()
+    assert len(spread) == 13 and {r.n for r in spread} == {8} and {r.tasks for r in spread} == {1}
+
+
 def test_lag_trend_is_a_least_squares_slope(spark):
     from lagscope.operators import lag as L
 
